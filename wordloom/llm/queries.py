@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.frequency import TermLedger, marked_terms
+from wordloom.llm.pii import find_kinds, read_names, redact
 from wordloom.llm.spans import SharedSpans, thread_key
 from wordloom.plans.catalog import Catalog, table
 
@@ -71,3 +72,25 @@ def p5_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = records.select(F.col("row").alias("row_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     shared = shared.withColumnRenamed("row", "row_id")
     return sizes.join(shared, "row_id", "left").select("row_id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce(F.col("shared_chars") / F.col("n_chars"), F.lit(0.0)), 4).alias("share"))
+
+
+P3_FIELDS = (("lcr_pass1b_canonical", "body"), ("memory_lcr_candidates", "context"), ("round_1_positive_cases", "full_context"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return df
+
+
+@catalog.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read_names(table(spark, sf_dir, "name_lexicon"))
+    return _union([find_kinds(table(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "kind") for t, c in P3_FIELDS])
+
+
+@catalog.add("p3_redacted")
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read_names(table(spark, sf_dir, "name_lexicon"))
+    return _union([redact(table(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "redacted") for t, c in P3_FIELDS])
