@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.encoding import encode_texts
 from wordloom.llm.frequency import TermLedger, marked_terms
+from wordloom.llm.leakage import leaked
 from wordloom.llm.pii import find_kinds, read_names, redact
+from wordloom.llm.sentences import split_sentences
 from wordloom.llm.spans import SharedSpans, thread_key
 from wordloom.plans.catalog import Catalog, table
 
 catalog = Catalog()
+#: Folder of the public vocabularies.
+TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def _p4_ledger(spark: SparkSession, sf_dir: str) -> TermLedger:
@@ -94,3 +101,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read_names(table(spark, sf_dir, "name_lexicon"))
     return _union([redact(table(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "redacted") for t, c in P3_FIELDS])
+
+
+@catalog.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+@catalog.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@catalog.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_char")
+
+
+@catalog.add("p10_sentences")
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
