@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from wordloom.llm.encoding import encode_texts
 from wordloom.llm.frequency import TermLedger, marked_terms
 from wordloom.llm.leakage import leaked
+from wordloom.llm.markup import clean_markup, find_markup
 from wordloom.llm.pii import find_kinds, read_names, redact
+from wordloom.llm.residue import find_residue, fit
 from wordloom.llm.sentences import split_sentences
 from wordloom.llm.spans import SharedSpans, thread_key
 from wordloom.plans.catalog import Catalog, table
@@ -121,3 +123,22 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("p10_sentences")
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"))
+
+
+P6_FIELDS = (("lcr_pass1b_canonical", "body"), ("yield_search_candidates", "context"))
+
+
+@catalog.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _union([find_markup(table(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "markup") for t, c in P6_FIELDS])
+
+
+@catalog.add("p6_clean")
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _union([clean_markup(table(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "clean_text") for t, c in P6_FIELDS])
+
+
+@catalog.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lcr_pass1b_canonical")
+    return find_residue(rows, fit(rows, text="body"), text="body")
