@@ -19,7 +19,7 @@ LANGUAGES = ("html", "markdown", "wiki", "latex")
 TAGS = "a abbr address article aside audio b base blockquote body br button caption center cite code col colgroup dd del details div dl dt em embed figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video".split()
 
 _ANY = re.compile(r"[<&#*_~`\[\]{}|\\$=>']|^\s{0,8}(?:[-+•]|\d{1,3}[.)])\s|-{3}", re.M)
-_TAG = rf"</?(?:{'|'.join(TAGS)})(?:\s[^<>]*|/)?>|</(?:{'|'.join(TAGS)})(?=\s|$)"
+_TAG = rf"</?(?:{'|'.join(TAGS)})(?:\s[^<>\n]*|/)?>|</(?:{'|'.join(TAGS)})(?=\s|$)"
 _HTML = re.compile(rf"{_TAG}|<!--|<!DOCTYPE|&(?:[A-Za-z][A-Za-z0-9]{{1,24}}|#\d{{1,7}}|#[xX][0-9A-Fa-f]{{1,6}});", re.I | re.M)
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _WIKI_TABLE = re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S)
@@ -27,7 +27,7 @@ _WIKI = re.compile(
     r"^\{\||^={2,6}[^=\n][^\n]*?[^=\n]?={2,6}[ \t\r]*$|^==+ ?[^=\n]+ ?==+|\[\[[^\[\]\n]+\]\]|(?<!')'{2,5}(?!')[^'\n]+?(?:'[^'\n]+?)*'{2,5}(?!')|\{\{[^{}|\n]+\|[^{}]*\}\}|(?<!\])\[(?:https?:)?//\S+ [^\]\n]+\]", re.M
 )
 _LATEX = re.compile(
-    r"\\(?:begin|end)\s?\{|(?<![\w\\:])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|(?<![\w\\:])\\item\b|\\\([^\n]+?\\\)|\\\[[^\n]*?[=^_+\\{}][^\n]*?\\\]|\$\$[^$]+\$\$|(?<![\\\w$])\$(?![\s\d])[^$\n]*[\\^_={}][^$\n]*\$(?!\w)|(?<![\w\\:])\\(?:alpha|beta|gamma|delta|lambda|mu|pi|sigma|theta|omega|sum|int|prod|cdot|times|leq|geq|neq|infty|to|LaTeX|TeX|maketitle|tableofcontents|noindent|newline|hline)\b"
+    r"\\(?:begin|end)\s?\{|(?<![\w\\:])\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{|(?<![\w\\:])\\item\b|\\\([^\n]+?\\\)|\\\[[^\n]*?[=^_+\\{}][^\n]*?\\\]|\$\$[^$]+\$\$|(?<![\\\w$])\$(?![\s\d{])[^$\n]*[\\^_={}][^$\n]*\$(?!\w)|(?<![\w\\:])\\(?:alpha|beta|gamma|delta|lambda|mu|pi|sigma|theta|omega|sum|int|prod|cdot|times|leq|geq|neq|infty|to|LaTeX|TeX|maketitle|tableofcontents|noindent|newline|hline)\b"
 )
 _MARKDOWN = re.compile(
     r"""^[ \t]{0,3}\#{1,6}[ \t]+\S | ^[^\n|<>=\-\s][^\n]*\n[ \t]{0,3}(?:={3,}|-{3,})[ \t\r]*$ | ^[ \t]{0,3}(?:```|~~~)
@@ -58,8 +58,8 @@ def markup_of(text: str | None) -> list[str]:
     return found
 
 
-_LATEX_SPAN = re.compile(r"\$\$[^$]+\$\$|\\\(.+?\\\)|\\\[.*?\\\]|(?<![\\\w$])\$(?![\s\d])[^$\n]*[\\^_={}][^$\n]*\$")
-_KEEP = re.compile(r"^[ \t]*```[^\n]*\n.*?^[ \t]*```[ \t]*$|`[^`\n]+`|\$\$[^$]+\$\$|\\\(.+?\\\)|\\\[.*?\\\]|(?<![\\\w$])\$(?![\s\d])[^$\n]*[\\^_={}][^$\n]*\$", re.M | re.S)
+_LATEX_SPAN = re.compile(r"\$\$[^$]+\$\$|\\\(.+?\\\)|\\\[.*?\\\]|(?<![\\\w$])\$(?![\s\d{])[^$\n]*[\\^_={}][^$\n]*\$")
+_KEEP = re.compile(r"^[ \t]*```[^\n]*\n.*?^[ \t]*```[ \t]*$|`[^`\n]+`|\$\$[^$]+\$\$|\\\(.+?\\\)|\\\[.*?\\\]|(?<![\\\w$])\$(?![\s\d{])[^$\n]*[\\^_={}][^$\n]*\$", re.M | re.S)
 _STEPS: tuple[tuple[re.Pattern, str], ...] = tuple(
     (re.compile(p, re.I | re.M | re.S), r)
     for p, r in (

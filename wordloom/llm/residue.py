@@ -27,7 +27,8 @@ TRUSTED = re.compile(
 )
 MODERATED = re.compile(r"^\s*[\[(]?\s*(?:removed|deleted)(?:\s+by\s+\w+)?\s*[\])]?\s*$", re.I)
 _PASSAGE = re.compile(r"(?<=[.!?])\s+|\n+")
-_FEATURE = re.compile(r"\{\{|\}\}|%%|<%=?|%>|\$\{|\[object|</?[a-z]+\d?|[^\W\d_]+|\d+|[{}\[\]<>|]")
+_SLOT = re.compile(r"\[[A-Z][A-Z _]{2,}\]")
+_FEATURE = re.compile(r"\[slot\]|\{\{|\}\}|%%|<%=?|%>|\$\{|\[object|</?[a-z]+\d?|[^\W\d_]+|\d+|[{}\[\]<>|]")
 
 
 def passages(text: str) -> list[str]:
@@ -36,7 +37,7 @@ def passages(text: str) -> list[str]:
 
 def features(passage: str) -> list[str]:
     """Words, digit runs by length, and marks; a pair of neighbours is a feature too."""
-    w = [f"#{min(len(x), 6)}" if x.isdigit() else x for x in _FEATURE.findall(passage.lower())]
+    w = [f"#{min(len(x), 6)}" if x.isdigit() else x for x in _FEATURE.findall(_SLOT.sub(" [slot] ", passage).lower())]
     return [*w, *(f"{a} {b}" for a, b in zip(["^", *w], [*w, "$"]))]
 
 
