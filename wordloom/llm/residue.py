@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Forms that only residue has. A record counts as trusted if it is short and begins or is built so.
 TRUSTED = re.compile(
-    r"""\{\{\s*\w+\s*\}\} | %%\w+%% | <%=?.*?%> | \$\{[\w.]+\} | ^\{\w+\}\s*$ | \[(?:YOUR|INSERT)\s[A-Z ]+\] | \[object\sObject\] | ^\W*lorem\sipsum\b | \b(?:asdf\s+){2} | (?:\bx{3,5}\s+){3}
+    r"""\{\{\s*\w+\s*\}\} | %%\w+%% | <%=?.*?%> | \$\{[\w.]+\} | ^\{\w+\}\s*$ | \[(?:YOUR|INSERT)\s[A-Z\s]+\] | \[object\sObject\] | ^\W*lorem\sipsum\b | \b(?:asdf\s+){2} | (?:\bx{3,5}\s+){3}
       | ^TODO: | placeholder\sparagraph | sample\stext\sfor | \b(?:error|fehler|erreur|código|code)\W{0,2}[45]\d\d\b | <title>\s*[45]\d\d | "code":\s*[45]\d\d
       | ^(?:please\s)?(?:turn\son|enable|you\sneed\sto\senable)\s(?:javascript|cookies) | ^javascript\sis\s(?:off|disabled|required) | bitte\saktivieren\ssie\sjavascript | activez\sles\sscripts | este\ssitio\snecesita\sscripts
       | browser\sdoes\snot\srun\sscripts | <noscript> | you\sare\s(?:no|not\sa)\srobot | checking\syour\sbrowser | access\sdenied\. | session\shas\sexpired | page\snot\sfound | seite\snicht\sgefunden | página\sno\sencontrada | service\s(?:paused|unavailable|indisponible)
