@@ -1,0 +1,122 @@
+"""Labelled spans of a text (V01-V14): rule matches, block quotes, overlap resolution, gapless cover, metrics."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+FLOOR = ("User_Original_Content", "low", "floor")
+# Ranks by which overlaps are decided, the least first.
+LABEL_RANK = {"Moderation_Notice": 0, "Prompt_Reproduction": 1, "Direct_Quote_Of_Model": 2, "Paraphrase_Of_Model": 3}
+CONFIDENCE_RANK = {"high": 0, "medium": 1, "low": 2}
+SPANS = "array<struct<start:int,end:int,label:string,confidence:string,source:string>>"
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    pattern: str
+    label: str
+    confidence: str
+
+
+#: Own rules; rules are data, pass others as you like.
+RULES = (
+    Rule("notice", r"(?i)\bposted by a script\b|\bcontact the mods\b|\bask the mods about it\b", "Moderation_Notice", "high"),
+    Rule("reminder_block", r"(?i)<\w*reminder\w*>.*?</\w*reminder\w*>", "Prompt_Reproduction", "high"),
+    Rule("said_quote", r"(?i)\b(?:it|the (?:bot|assistant|model)) (?:said|wrote|replied)[:,]? [\"“][^\"”\n]{3,400}[\"”]", "Direct_Quote_Of_Model", "high"),
+    Rule("all_i_got", r"(?i)\ball i got was [\"“][^\"”\n]{3,400}[\"”]", "Direct_Quote_Of_Model", "high"),
+    Rule("words_put", r"(?i)\b(?:put|used the words|held the words) [\"“][^\"”\n]{3,200}[\"”]", "Direct_Quote_Of_Model", "medium"),
+    Rule("told_me_to", r"(?i)\b(?:told|kept telling|keeps telling) me (?:to|that) [^.!?\n]{3,200}", "Paraphrase_Of_Model", "high"),
+    Rule("keeps_suggesting", r"(?i)\b(?:kept|keeps) (?:warning|asking|suggesting|reminding)[^.!?\n]{3,200}", "Paraphrase_Of_Model", "medium"),
+    Rule("treated_me", r"(?i)\btreat(?:s|ed) me like [^.!?,\n]{3,100}", "Paraphrase_Of_Model", "medium"),
+)
+_QUOTE = re.compile(r"(?m)^[ \t]*(?:>|&gt;)[^\n]*(?:\n[ \t]*(?:>|&gt;)[^\n]*)*\n?")
+
+
+def classify(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The first rule that matches a whole row gives label, confidence and source; none gives the floor."""
+    hit = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.name).alias("source"))
+    out = F.struct(F.lit(FLOOR[0]).alias("label"), F.lit(FLOOR[1]).alias("confidence"), F.lit("regex_default").alias("source"))
+    for r in reversed(rules):
+        out = F.when(text.rlike(r.pattern), hit(r)).otherwise(out)
+    return out
+
+
+def raw_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str, str, str]]:
+    """All matches of all rules and block quotes, in order of emission; a notice covers the whole text."""
+    for r in rules:
+        if r.label == "Moderation_Notice" and re.search(r.pattern, text):
+            return [(0, len(text), r.label, r.confidence, r.name)]
+    out = [(m.start(), m.end(), r.label, r.confidence, r.name) for r in rules if r.label == "Prompt_Reproduction" for m in re.finditer(r.pattern, text) if m.group()]
+    out += [(m.start(), m.end(), "Direct_Quote_Of_Model", "high", "blockquote") for m in _QUOTE.finditer(text)]
+    return out + [(m.start(), m.end(), r.label, r.confidence, r.name) for r in rules if r.label not in ("Prompt_Reproduction", "Moderation_Notice") for m in re.finditer(r.pattern, text) if m.group()]
+
+
+def cover(length: int, spans: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """Gapless cover of a text: the best ranked span wins each stretch, the earlier one on ties; the rest is the floor."""
+    if not length:
+        return [(0, 0, *FLOOR)]
+    cuts = sorted({0, length, *(x for s in spans for x in s[:2])})
+    out: list[tuple[int, int, str, str, str]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        over = [(LABEL_RANK.get(s[2], 9), CONFIDENCE_RANK.get(s[3], 9), i) for i, s in enumerate(spans) if s[0] <= a and s[1] >= b]
+        what = spans[min(over)[2]][2:] if over else FLOOR
+        if out and out[-1][2:] == what:
+            out[-1] = (out[-1][0], b, *what)
+        else:
+            out.append((a, b, *what))
+    return out
+
+
+def segment(df: DataFrame, text: str, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """key, span_index, span_start, span_end, label, confidence, source: gapless spans; null texts count as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, i, *s) for k, t in zip(pdf["k"], pdf["t"]) for i, s in enumerate(cover(len(t or ""), raw_spans(t or "", rules)))]
+            yield pd.DataFrame(rows, columns=["k", "span_index", "span_start", "span_end", "label", "confidence", "source"])
+
+    kind = dict(df.dtypes)[key]
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, span_index int, span_start int, span_end int, label string, confidence string, source string")
+    return out.withColumnRenamed("k", key)
+
+
+def resolve(spans: DataFrame, key: str) -> DataFrame:
+    """The cover in SQL terms, for spans that are rows (key, length, start, end, label_rank, conf_rank, ord): who wins each stretch."""
+    cuts = spans.select(key, F.explode(F.array(F.lit(0), "length", "start", "end")).alias("lo")).distinct()
+    w = Window.partitionBy(key).orderBy("lo")
+    cells = cuts.withColumn("hi", F.lead("lo").over(w)).where("hi IS NOT NULL")
+    s = spans.select(F.col(key).alias("__k"), "start", "end", "ord", F.struct("label_rank", "conf_rank", "ord").alias("rank"))
+    held = cells.join(s, (F.col(key) == F.col("__k")) & (F.col("start") <= F.col("lo")) & (F.col("end") >= F.col("hi")), "left")
+    best = held.groupBy(key, "lo", "hi").agg(F.min_by("ord", "rank").alias("winner"))
+    new = F.when(F.col("winner").eqNullSafe(F.lag("winner").over(w)) & (F.col("lo") > 0), 0).otherwise(1)
+    runs = best.withColumn("run", new)
+    runs = runs.withColumn("run", F.sum("run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(key, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("winner").alias("winner")).select(key, "lo", "hi", "winner")
+
+
+def metrics(spans: DataFrame) -> DataFrame:
+    """label, confidence, spans, chars and their share of all characters."""
+    n = F.col("span_end") - F.col("span_start")
+    g = spans.groupBy("label", "confidence").agg(F.count(F.lit(1)).alias("spans"), F.sum(n).alias("chars"))
+    return g.withColumn("share", F.round(F.col("chars") / F.sum("chars").over(Window.partitionBy()), 4))
+
+
+def dominant(spans: DataFrame, key: str) -> DataFrame:
+    """The label other than the floor with the most characters of each row, else the floor."""
+    g = spans.groupBy(key, "label").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n"))
+    own = F.when(F.col("label") != FLOOR[0], F.struct(F.col("n"), F.col("label")))
+    return g.groupBy(key).agg(F.coalesce(F.max(own)["label"], F.lit(FLOOR[0])).alias("dominant"))
+
+
+def tiers(spans: DataFrame, key: str, share: float = 0.2) -> DataFrame:
+    """Tier 1 where one reliable span of the model's words covers at least ``share`` of the row."""
+    n = F.max("span_end").over(Window.partitionBy(key))
+    d = spans.withColumn("part", F.when(F.col("label").isin("Direct_Quote_Of_Model", "Paraphrase_Of_Model") & F.col("confidence").isin("high", "medium") & (n > 0), (F.col("span_end") - F.col("span_start")) / n).otherwise(0.0))
+    return d.groupBy(key).agg(F.when(F.max("part") >= share, 1).otherwise(2).alias("tier"))
