@@ -37,7 +37,7 @@ def _partial(field: str, tokenized: bool, flush_at: int):
 
         def sums() -> pd.DataFrame:
             terms = [t for t in seen if not tokenized or _TERM.fullmatch(t)]
-            return pd.DataFrame({"field": field, "term": terms, "occurrences": [seen[t] for t in terms], "records": [rows[t] for t in terms]})
+            return pd.DataFrame({"field": [field] * len(terms), "term": terms, "occurrences": [seen[t] for t in terms], "records": [rows[t] for t in terms]}).astype({"field": "object", "term": "object", "occurrences": "int64", "records": "int64"})
 
         for pdf in batches:
             for sign, part in pdf.groupby("sign"):
@@ -60,7 +60,7 @@ def _partial(field: str, tokenized: bool, flush_at: int):
                 seen.clear()
                 rows.clear()
         yield sums()
-        yield pd.DataFrame({"field": [field], "term": [None], "occurrences": [total], "records": [total]})
+        yield pd.DataFrame({"field": [field], "term": [None], "occurrences": [total], "records": [total]}).astype({"term": "object"})
 
     return run
 
