@@ -391,7 +391,7 @@ def d05(s, d):
     return clusters.density_clusters(table(s, d, "embeddings").select(F.lit("all").alias("seed"), "vec_id", "embedding"), "seed", "vec_id", "embedding")
 
 
-@q("p09_cohen_kappa", f"WITH l AS ({_LAB}), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b), o AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n) AS po FROM t), e AS (SELECT sum(x.n * y.n) AS both FROM (SELECT a, sum(n) AS n FROM t GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM t GROUP BY b) y ON a = b) SELECT round(po, 4) AS agreement, round((po - both / (n * n)) / (1 - both / (n * n)), 4) AS kappa FROM o, e")
+@q("p09_cohen_kappa", f"WITH l AS ({_LAB}), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b), o AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n) AS po FROM t), e AS (SELECT sum(x.n * y.n) AS bb FROM (SELECT a, sum(n) AS n FROM t GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM t GROUP BY b) y ON a = b) SELECT round(po, 4) AS agreement, round((po - bb / (n * n)) / (1 - bb / (n * n)), 4) AS kappa FROM o, e")
 def p09(s, d):
     return clusters.kappa(_labels(s, d), "a", "b")
 
@@ -431,7 +431,7 @@ def v04(s, d):
     return segments.resolve(raw, "k")
 
 
-@q("p01_composition_rollup", f"SELECT coalesce(subreddit, CASE WHEN grouping(subreddit) = 1 THEN 'Total' ELSE '(none)' END) AS subreddit, count(*) AS rows, count_if(type = 'post') AS posts, count_if(type = 'comment') AS comments, count_if(r2_any_match) AS tagged, count_if(ingested_at < {MS}) AS pre, count_if(ingested_at >= {MS}) AS post FROM {C} GROUP BY ROLLUP (subreddit)")
+@q("p01_composition_rollup", f"SELECT coalesce(subreddit, CASE WHEN grouping(subreddit) = 1 THEN 'Total' ELSE '(none)' END) AS subreddit, count(*) AS rows, count_if(type = 'post') AS posts, count_if(type = 'comment') AS comments, count_if(coalesce(r2_any_match, false)) AS tagged, count_if(ingested_at < {MS}) AS pre, count_if(ingested_at >= {MS}) AS post FROM {C} GROUP BY ROLLUP (subreddit)")
 def p01(s, d):
     at = F.lit("2025-09-29").cast("timestamp")
     g = corpus(s, d).rollup("subreddit").agg(F.grouping("subreddit").alias("g"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"), F.count_if("r2_any_match").alias("tagged"), F.count_if(F.col("ingested_at") < at).alias("pre"), F.count_if(F.col("ingested_at") >= at).alias("post"))
@@ -457,15 +457,15 @@ def _daily(s, d):
     return z.select("day", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("tokens") >= 50, F.round(1000.0 * F.col("hits") / F.col("tokens"), 4)).alias("rate"))
 
 
-@q("p05_daily_rate", f"WITH {_DAILY} SELECT * FROM r")
+@q("p05_daily_rate", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, hits, tokens, rate FROM r")
 def p05(s, d):
-    return _daily(s, d)
+    return _daily(s, d).withColumn("day", F.col("day").cast("string"))
 
 
-@q("p06_rolling_mean", f"WITH {_DAILY} SELECT day, CASE WHEN count(rate) OVER w >= 3 THEN round(avg(rate) OVER w, 4) END AS mean7 FROM r WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+@q("p06_rolling_mean", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, CASE WHEN count(rate) OVER w >= 3 THEN round(avg(rate) OVER w, 4) END AS mean7 FROM r WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
 def p06(s, d):
     w = Window.orderBy("day").rowsBetween(-3, 3)  # one row a day
-    return _daily(s, d).select("day", F.when(F.count("rate").over(w) >= 3, F.round(F.avg("rate").over(w), 4)).alias("mean7"))
+    return _daily(s, d).select(F.col("day").cast("string").alias("day"), F.when(F.count("rate").over(w) >= 3, F.round(F.avg("rate").over(w), 4)).alias("mean7"))
 
 
 @q("p07_panel_counts", "SELECT v AS value, count(pattern_type) AS n FROM (SELECT unnest(['phrasal', 'user_reaction', 'grammatical', 'none']) AS v) LEFT JOIN seed_terms_round_2 ON pattern_type = v GROUP BY v")
