@@ -111,14 +111,26 @@ def learn(positive: list[str], unlabelled: list[str], *, size: int = 1 << 18, ro
 
 
 def fit(df: DataFrame, *, text: str, id_col: str = "row_id", max_positive: int = 4000, max_unlabelled: int = 6000, max_chars: int = 600) -> ResidueModel:
-    """Fit on at most ``max_positive`` trusted and ``max_unlabelled`` other records, those of the least md5 of their id.
+    """Fit on a sample of about ``max_positive`` trusted and ``max_unlabelled`` other records; twice as many are refused.
 
-    Trusted records have at most ``max_chars`` characters, so that a post that only quotes residue isn't one.
+    Both are counted first, and a record is taken where the hash of its id falls into the share that is wanted, so only
+    the sample reaches the driver, however many tasks there are.  Trusted records have at most ``max_chars``
+    characters, so that a post that only quotes residue isn't one.
     """
-    rows = df.select(F.md5(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull())
+    rows = df.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1_000_000)).alias("h"), F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull())
+    rows = rows.where(~F.col("t").rlike("(?i)" + MODERATED.pattern))
     trusted = (F.length("t") <= max_chars) & F.col("t").rlike("(?ixm)" + TRUSTED.pattern)
-    pick = lambda cond, n: [r["t"] for r in rows.where(cond).orderBy("h").limit(n).collect()]
-    return learn([t for t in pick(trusted, max_positive) if not MODERATED.match(t)], [t for t in pick(~trusted, max_unlabelled) if not MODERATED.match(t)])
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(trusted).alias("trusted")).head()
+    limit = lambda most, count: -(-1_000_000 * most // max(most, count))
+    positive, other = limit(max_positive, n["trusted"]), limit(max_unlabelled, n["all"] - n["trusted"])
+    # the cheap test of the hash goes first
+    picked = rows.where(F.col("h") < max(positive, other)).select("h", "t", trusted.alias("trusted")).where(F.col("h") < F.when(F.col("trusted"), positive).otherwise(other))
+    most = 2 * (max_positive + max_unlabelled)
+    sample = picked.limit(most + 1).collect()
+    if len(sample) > most:
+        raise ValueError("the sample is twice as large as wanted; ids repeat too often")
+    sample.sort(key=lambda r: (r["h"], r["t"]))
+    return learn([r["t"] for r in sample if r["trusted"]], [r["t"] for r in sample if not r["trusted"]])
 
 
 def find_residue(df: DataFrame, model: ResidueModel, *, text: str, id_col: str = "row_id", share: float = 0.75) -> DataFrame:
