@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.storage import attach
+
 
 def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -19,7 +21,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = t.agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
     rows = t.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("sa"))
     cols = t.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("sb"))
-    x = cells.crossJoin(rows).crossJoin(cols)  # single rows
+    x = attach(attach(cells, rows), cols)
     s, sa, sb = F.col("s"), F.col("sa"), F.col("sb")
     expected, most = sa * sb / two(F.col("n")), (sa + sb) / 2
     return x.select(F.round(F.when(F.col("n") < 2, None).when(most == expected, 1.0).otherwise((s - expected) / (most - expected)), 4).alias("ari"))
@@ -61,7 +63,7 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     ra = t.groupBy("a").agg(F.sum("n").alias("na"))
     rb = t.groupBy("b").agg(F.sum("n").alias("nb"))
     chance = ra.join(rb, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("both"))
-    x = n.crossJoin(chance).select((F.col("same") / F.col("n")).alias("po"), (F.col("both") / (F.col("n") * F.col("n"))).alias("pe"))  # single rows
+    x = attach(n, chance).select((F.col("same") / F.col("n")).alias("po"), (F.col("both") / (F.col("n") * F.col("n"))).alias("pe"))
     return x.select(F.round("po", 4).alias("agreement"), F.round(F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 4).alias("kappa"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators.tokens import top
-from wordloom.storage import broadcast_checked
+from wordloom.storage import attach, broadcast_checked
 
 
 def vocabulary(df: DataFrame, tokens: Column, k: int = 2000) -> DataFrame:
@@ -49,7 +49,7 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
     total = e.agg(F.sum("weight").alias("m"))
     inside = e.join(ls, "src").join(ld, "dst").where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.sum("weight").alias("w_in"))
     strength = e.select(F.explode(F.array("src", "dst")).alias("term"), "weight").join(labels, "term").groupBy("community").agg(F.sum("weight").alias("k"))
-    c = strength.join(inside, "community", "left").crossJoin(F.broadcast(total))  # one row
+    c = attach(strength.join(inside, "community", "left"), total)
     return c.agg(F.round(F.sum(F.coalesce(F.col("w_in"), F.lit(0)) / F.col("m") - (F.col("k") / (2 * F.col("m"))) ** 2), 4).alias("modularity"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.clean import strip_urls
-from wordloom.storage import broadcast_checked
+from wordloom.storage import attach, broadcast_checked
 
 # Function words left out on request, with four artefacts of noun lemmas.
 STOPWORDS = tuple("""a about after again all also although am an and any are as at be because been before being but by can could did do does doing down during each even for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your wa ha doe wo""".split())
@@ -89,7 +89,8 @@ def collocations(df: DataFrame, tokens: Column, anchors: list[str], windows: lis
     freq = frequency(docs, F.col("t"))
     total = freq.agg(F.sum("n").alias("total"))
     anchor_n = freq.where(F.col("term").isin(*anchors)).select(F.col("term").alias("anchor"), F.col("n").alias("anchor_n"))
-    rows = cooc.where(F.col("cooc") >= at_least).join(freq.withColumnRenamed("n", "freq"), "term").join(F.broadcast(anchor_n), "anchor").crossJoin(F.broadcast(total))  # a row for each anchor, and one row
+    rows = cooc.where(F.col("cooc") >= at_least).join(freq.withColumnRenamed("n", "freq"), "term").join(F.broadcast(anchor_n), "anchor")  # a row for each anchor
+    rows = attach(rows, total)
     rows = rows.withColumn("pmi", F.round(pmi(F.col("cooc"), F.col("total"), F.col("anchor_n"), F.col("freq")), 4))
     w = Window.partitionBy("anchor", "width").orderBy(F.desc("pmi"), "term")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("anchor", "width", "term", "cooc", "anchor_n", "freq", "pmi", "rank")
@@ -99,7 +100,7 @@ def compare(a: DataFrame, b: DataFrame, k: int = 200) -> DataFrame:
     """term, a_per_1k, b_per_1k, ratio of the union of the ``k`` most frequent terms of both; true totals are the denominators."""
     total = lambda d, name: d.agg(F.sum("n").alias(name))
     ta, tb = top(a, k).select("term", F.col("n").alias("a")), top(b, k).select("term", F.col("n").alias("b"))
-    rows = ta.join(tb, "term", "full_outer").na.fill(0, ["a", "b"]).crossJoin(F.broadcast(total(a, "na"))).crossJoin(F.broadcast(total(b, "nb")))  # single rows
+    rows = attach(attach(ta.join(tb, "term", "full_outer").na.fill(0, ["a", "b"]), total(a, "na")), total(b, "nb"))
     pa, pb = F.col("a") / F.col("na") * 1000, F.col("b") / F.col("nb") * 1000
     return rows.select("term", "a", "b", F.round(pa, 4).alias("a_per_1k"), F.round(pb, 4).alias("b_per_1k"), F.round((F.col("a") / F.col("na")) / F.greatest(F.col("b") / F.col("nb"), F.lit(1e-9)), 4).alias("ratio"))
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.storage import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,5 +28,10 @@ class Catalog:
         return keep
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are costly to read, in at least as many tasks as there are cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators import clean, clusters, graph, relational, segments, tagging, tokens
-from wordloom.plans.catalog import Catalog, table
+from wordloom.plans.catalog import Catalog, table, texts
+from wordloom.storage import attach
 
 catalog = Catalog()
 body = W = None  # columns need a session, so they are bound when a query is called
@@ -35,11 +36,11 @@ MS = "TIMESTAMP '2025-09-29 00:00:00'"
 
 
 def corpus(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, C)
+    return texts(s, d, C)
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return texts(s, d, "documents")
 
 
 
@@ -292,7 +293,7 @@ q("f16_only_in_a", _CMP + "SELECT term FROM r WHERE b = 0")(lambda s, d: _compar
 def f17(s, d):
     f = tokens.frequency(corpus(s, d), W)
     total = f.agg(F.sum("n").alias("total"))
-    t = tokens.top(f, 50).crossJoin(F.broadcast(total))  # one row
+    t = attach(tokens.top(f, 50), total)
     return t.select(F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("rank"), "term", "n", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("pct"), F.col("term").isin(*tokens.STOPWORDS).alias("in_stop"))
 
 

@@ -48,3 +48,15 @@ def bounded(df: DataFrame, max_rows: int) -> tuple[list, bool]:
 def broadcast_checked(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Hint a broadcast only after counting: beyond ``max_rows`` the join falls back to Catalyst's own choice."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as literals, so that no join is needed; an empty table gives nulls."""
+    row = one.head()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in one.schema.fields})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that is read in fewer tasks than there are cores (one small file); a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
