@@ -15,7 +15,7 @@ from wordloom.llm.pii import find_kinds, read_names, redact
 from wordloom.llm.residue import find_residue, fit
 from wordloom.llm.sentences import split_sentences
 from wordloom.llm.spans import SharedSpans, thread_key
-from wordloom.plans.catalog import Catalog, table
+from wordloom.plans.catalog import Catalog, table, texts
 
 catalog = Catalog()
 #: Folder of the public vocabularies.
@@ -23,7 +23,7 @@ TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def _p4_ledger(spark: SparkSession, sf_dir: str) -> TermLedger:
-    rows = table(spark, sf_dir, "lcr_pass1b_canonical").select("body", "subreddit")
+    rows = texts(spark, sf_dir, "lcr_pass1b_canonical").select("body", "subreddit")
     ledger = TermLedger(spark)
     ledger.apply("body", added=rows, value="body", tokenized=True)
     ledger.apply("subreddit", added=rows, value="subreddit", tokenized=False)
@@ -96,33 +96,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 @catalog.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read_names(table(spark, sf_dir, "name_lexicon"))
-    return _union([find_kinds(table(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "kind") for t, c in P3_FIELDS])
+    return _union([find_kinds(texts(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "kind") for t, c in P3_FIELDS])
 
 
 @catalog.add("p3_redacted")
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read_names(table(spark, sf_dir, "name_lexicon"))
-    return _union([redact(table(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "redacted") for t, c in P3_FIELDS])
+    return _union([redact(texts(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "redacted") for t, c in P3_FIELDS])
 
 
 @catalog.add("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return encode_texts(texts(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 @catalog.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaked(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 @catalog.add("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "documents")).select("doc_id", "end_char")
+    return split_sentences(texts(spark, sf_dir, "documents")).select("doc_id", "end_char")
 
 
 @catalog.add("p10_sentences")
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "documents"))
+    return split_sentences(texts(spark, sf_dir, "documents"))
 
 
 P6_FIELDS = (("lcr_pass1b_canonical", "body"), ("yield_search_candidates", "context"))
@@ -130,15 +130,15 @@ P6_FIELDS = (("lcr_pass1b_canonical", "body"), ("yield_search_candidates", "cont
 
 @catalog.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([find_markup(table(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "markup") for t, c in P6_FIELDS])
+    return _union([find_markup(texts(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "markup") for t, c in P6_FIELDS])
 
 
 @catalog.add("p6_clean")
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _union([clean_markup(table(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "clean_text") for t, c in P6_FIELDS])
+    return _union([clean_markup(texts(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "clean_text") for t, c in P6_FIELDS])
 
 
 @catalog.add("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lcr_pass1b_canonical")
+    rows = texts(spark, sf_dir, "lcr_pass1b_canonical")
     return find_residue(rows, fit(rows, text="body"), text="body")
