@@ -33,9 +33,9 @@ def same(spark, f, sql):
 
 
 def core():
-    from wordloom.plans import corpus, general
+    from wordloom.plans import corpus, general, more
 
-    return [(n, c) for c in (general.catalog, corpus.catalog) for n in c.queries]
+    return [(n, c) for c in (general.catalog, corpus.catalog, more.catalog) for n in c.queries]
 
 
 @pytest.mark.parametrize("name,catalog", core(), ids=[n for n, _ in core()])

@@ -324,7 +324,7 @@ _EDGES = f"v AS ({_VOC}), h AS (SELECT row_id, term FROM (SELECT row_id, unnest(
 
 
 def _edges(s, d):
-    c = corpus(s, d).select("row_id", tokens.content(W).alias("w"))
+    c = corpus(s, d).select("row_id", tokens.content(tokens.words(F.col("body"))).alias("w"))
     return graph.edges(c, F.col("w"), graph.vocabulary(c, F.col("w"), 150), "row_id")
 
 
@@ -392,7 +392,7 @@ def d05(s, d):
     return clusters.density_clusters(table(s, d, "embeddings").select(F.lit("all").alias("seed"), "vec_id", "embedding"), "seed", "vec_id", "embedding")
 
 
-@q("p09_cohen_kappa", f"WITH l AS ({_LAB}), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b), o AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n) AS po FROM t), e AS (SELECT sum(x.n * y.n) AS bb FROM (SELECT a, sum(n) AS n FROM t GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM t GROUP BY b) y ON a = b) SELECT round(po, 4) AS agreement, round((po - bb / (n * n)) / (1 - bb / (n * n)), 4) AS kappa FROM o, e")
+@q("rp09_cohen_kappa", f"WITH l AS ({_LAB}), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY a, b), o AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n) AS po FROM t), e AS (SELECT sum(x.n * y.n) AS bb FROM (SELECT a, sum(n) AS n FROM t GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM t GROUP BY b) y ON a = b) SELECT round(po, 4) AS agreement, round((po - bb / (n * n)) / (1 - bb / (n * n)), 4) AS kappa FROM o, e")
 def p09(s, d):
     return clusters.kappa(_labels(s, d), "a", "b")
 
@@ -432,14 +432,14 @@ def v04(s, d):
     return segments.resolve(raw, "k")
 
 
-@q("p01_composition_rollup", f"SELECT coalesce(subreddit, CASE WHEN grouping(subreddit) = 1 THEN 'Total' ELSE '(none)' END) AS subreddit, count(*) AS rows, count_if(type = 'post') AS posts, count_if(type = 'comment') AS comments, count_if(coalesce(r2_any_match, false)) AS tagged, count_if(ingested_at < {MS}) AS pre, count_if(ingested_at >= {MS}) AS post FROM {C} GROUP BY ROLLUP (subreddit)")
+@q("rp01_composition_rollup", f"SELECT coalesce(subreddit, CASE WHEN grouping(subreddit) = 1 THEN 'Total' ELSE '(none)' END) AS subreddit, count(*) AS rows, count_if(type = 'post') AS posts, count_if(type = 'comment') AS comments, count_if(coalesce(r2_any_match, false)) AS tagged, count_if(ingested_at < {MS}) AS pre, count_if(ingested_at >= {MS}) AS post FROM {C} GROUP BY ROLLUP (subreddit)")
 def p01(s, d):
     at = F.lit("2025-09-29").cast("timestamp")
     g = corpus(s, d).rollup("subreddit").agg(F.grouping("subreddit").alias("g"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"), F.count_if("r2_any_match").alias("tagged"), F.count_if(F.col("ingested_at") < at).alias("pre"), F.count_if(F.col("ingested_at") >= at).alias("post"))
     return g.withColumn("subreddit", F.coalesce("subreddit", F.when(F.col("g") == 1, "Total").otherwise("(none)"))).drop("g")
 
 
-@q("p04_category_pivot", f"WITH f AS (SELECT type, CASE WHEN term IN ('warning', 'reminder', 'layer') THEN 'mechanism' WHEN term IN ('therapist', 'help', 'patient') THEN 'care' END AS category FROM (SELECT type, unnest({BODY}) AS term FROM {C})), t AS (SELECT type, count(*) AS total FROM f GROUP BY type) SELECT category, round(1000.0 * count_if(type = 'post') / (SELECT total FROM t WHERE type = 'post'), 4) AS post, round(1000.0 * count_if(type = 'comment') / (SELECT total FROM t WHERE type = 'comment'), 4) AS comment FROM f WHERE category IS NOT NULL GROUP BY category")
+@q("rp04_category_pivot", f"WITH f AS (SELECT type, CASE WHEN term IN ('warning', 'reminder', 'layer') THEN 'mechanism' WHEN term IN ('therapist', 'help', 'patient') THEN 'care' END AS category FROM (SELECT type, unnest({BODY}) AS term FROM {C})), t AS (SELECT type, count(*) AS total FROM f GROUP BY type) SELECT category, round(1000.0 * count_if(type = 'post') / (SELECT total FROM t WHERE type = 'post'), 4) AS post, round(1000.0 * count_if(type = 'comment') / (SELECT total FROM t WHERE type = 'comment'), 4) AS comment FROM f WHERE category IS NOT NULL GROUP BY category")
 def p04(s, d):
     cat = F.when(F.col("term").isin("warning", "reminder", "layer"), "mechanism").when(F.col("term").isin("therapist", "help", "patient"), "care")
     f = tokens.frequency(corpus(s, d), W, ["type"])
@@ -458,36 +458,36 @@ def _daily(s, d):
     return z.select("day", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("tokens") >= 50, F.round(1000.0 * F.col("hits") / F.col("tokens"), 4)).alias("rate"))
 
 
-@q("p05_daily_rate", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, hits, tokens, rate FROM r")
+@q("rp05_daily_rate", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, hits, tokens, rate FROM r")
 def p05(s, d):
     return _daily(s, d).withColumn("day", F.col("day").cast("string"))
 
 
-@q("p06_rolling_mean", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, CASE WHEN count(rate) OVER w >= 3 THEN round(avg(rate) OVER w, 4) END AS mean7 FROM r WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+@q("rp06_rolling_mean", f"WITH {_DAILY} SELECT CAST(day AS VARCHAR) AS day, CASE WHEN count(rate) OVER w >= 3 THEN round(avg(rate) OVER w, 4) END AS mean7 FROM r WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
 def p06(s, d):
     w = Window.orderBy("day").rowsBetween(-3, 3)  # one row a day
     return _daily(s, d).select(F.col("day").cast("string").alias("day"), F.when(F.count("rate").over(w) >= 3, F.round(F.avg("rate").over(w), 4)).alias("mean7"))
 
 
-@q("p07_panel_counts", "SELECT v AS value, count(pattern_type) AS n FROM (SELECT unnest(['phrasal', 'user_reaction', 'grammatical', 'none']) AS v) LEFT JOIN seed_terms_round_2 ON pattern_type = v GROUP BY v")
+@q("rp07_panel_counts", "SELECT v AS value, count(pattern_type) AS n FROM (SELECT unnest(['phrasal', 'user_reaction', 'grammatical', 'none']) AS v) LEFT JOIN seed_terms_round_2 ON pattern_type = v GROUP BY v")
 def p07(s, d):
     v = s.createDataFrame([("phrasal",), ("user_reaction",), ("grammatical",), ("none",)], "value string")
     t = table(s, d, "seed_terms_round_2").groupBy(F.col("pattern_type").alias("value")).agg(F.count(F.lit(1)).alias("c"))
     return v.join(t, "value", "left").select("value", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@q("p08_matrix", "SELECT term, 'pattern_type' AS property, pattern_type AS value FROM seed_terms_round_2 UNION ALL SELECT term, 'confidence', confidence FROM seed_terms_round_2 UNION ALL SELECT term, 'retrieval_action', retrieval_action FROM seed_terms_round_2")
+@q("rp08_matrix", "SELECT term, 'pattern_type' AS property, pattern_type AS value FROM seed_terms_round_2 UNION ALL SELECT term, 'confidence', confidence FROM seed_terms_round_2 UNION ALL SELECT term, 'retrieval_action', retrieval_action FROM seed_terms_round_2")
 def p08(s, d):
     return table(s, d, "seed_terms_round_2").unpivot("term", ["pattern_type", "confidence", "retrieval_action"], "property", "value")
 
 
-@q("p11_completeness", "SELECT row_id, CAST(source_csv IS NOT NULL AS INT) + CAST(post_id IS NOT NULL AS INT) + CAST(full_context IS NOT NULL AS INT) + CAST(why_positive IS NOT NULL AS INT) AS filled FROM round_1_positive_cases")
+@q("rp11_completeness", "SELECT row_id, CAST(source_csv IS NOT NULL AS INT) + CAST(post_id IS NOT NULL AS INT) + CAST(full_context IS NOT NULL AS INT) + CAST(why_positive IS NOT NULL AS INT) AS filled FROM round_1_positive_cases")
 def p11(s, d):
     cols = ["source_csv", "post_id", "full_context", "why_positive"]
     return table(s, d, "round_1_positive_cases").select("row_id", F.size(F.array_compact(F.array(*cols))).alias("filled"))
 
 
-@q("p13_upper_median", "SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS upper_median, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+@q("rp13_upper_median", "SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS upper_median, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 def p13(s, d):
     # exact, without gathering a group: the row at that rank
     w = Window.partitionBy("event_type")
