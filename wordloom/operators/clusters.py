@@ -67,73 +67,163 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.round("po", 4).alias("agreement"), F.round(F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))), 4).alias("kappa"))
 
 
-def density_clusters(df: DataFrame, group: str, key: str, vector: str, *, min_size: int = 5, max_items: int = 20_000) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean, summed in the order of the dimensions, so that a pair has the same distance in whichever block it stands."""
+    out = np.zeros((len(x), len(y)))
+    for i in range(0, len(x), 128):
+        for k in range(x.shape[1]):
+            out[i : i + 128] += (x[i : i + 128, k, None] - y[None, :, k]) ** 2
+    return np.sqrt(out, out=out)
+
+
+def _spanning_tree(d: np.ndarray, rank_x: np.ndarray, rank_y: np.ndarray | None) -> list[tuple[float, int, int]]:
+    """Prim over the edges between x and y (or within x); ties go by the lower, then the higher rank, so there is one tree only."""
+    n, nx = len(rank_x) + (0 if rank_y is None else len(rank_y)), len(rank_x)
+    rank = rank_x if rank_y is None else np.concatenate([rank_x, rank_y])
+    turned = d if rank_y is None else np.ascontiguousarray(d.T)
+    best, tie, via, outside = np.full(n, np.inf), np.full(n, n * n), np.zeros(n, int), np.ones(n, bool)
+    cur, tree = 0, []
+    for _ in range(n - 1):
+        outside[cur] = False
+        best[cur] = np.inf
+        far = slice(0, n) if rank_y is None else slice(nx, n) if cur < nx else slice(0, nx)
+        w = d[cur] if cur < nx else turned[cur - nx]
+        code = np.minimum(rank[cur], rank[far]) * n + np.maximum(rank[cur], rank[far])
+        closer = outside[far] & ((w < best[far]) | ((w == best[far]) & (code < tie[far])))
+        best[far], tie[far], via[far] = np.where(closer, w, best[far]), np.where(closer, code, tie[far]), np.where(closer, cur, via[far])
+        least = np.flatnonzero(best == best.min())
+        nxt = int(least[np.argmin(tie[least])])
+        a, b = sorted((int(rank[via[nxt]]), int(rank[nxt])))
+        tree.append((float(best[nxt]), a, b))
+        cur = nxt
+    return tree
+
+
+def _find(up: list[int], i: int) -> int:
+    while up[i] != i:
+        up[i] = up[up[i]]
+        i = up[i]
+    return i
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kruskal: of edges h, a < b those of the least spanning forest, in order of h, a, b."""
+    pdf = pdf.sort_values(["h", "a", "b"])
+    code, keys = pd.factorize(pd.concat([pdf["a"], pdf["b"]]))
+    up, keep = list(range(len(keys))), []
+    for x, y in zip(code[: len(pdf)].tolist(), code[len(pdf) :].tolist()):
+        rx, ry = _find(up, x), _find(up, y)
+        keep.append(rx != ry)
+        up[rx] = ry
+    return pdf[keep]
+
+
+def _condense(tree: list[tuple[int, int]], heights: list[float], min_size: int) -> np.ndarray:
+    """Cluster of each of the items 0 to n - 1, -1 for none, from the n - 1 edges of their tree in order of height."""
+    n = len(tree) + 1
+    up, size, kids, height = list(range(2 * n - 1)), [1] * n, {}, {}
+    for new, ((a, b), h) in enumerate(zip(tree, heights), n):
+        ra, rb = _find(up, a), _find(up, b)
+        kids[new], height[new] = (ra, rb), h
+        size.append(size[ra] + size[rb])
+        up[ra] = up[rb] = new
+    root, start, order = 2 * n - 2, [0] * (2 * n - 1), np.zeros(n, int)
+    for i in range(root, n - 1, -1):
+        a, b = kids[i]
+        start[a], start[b] = start[i], start[i] + size[a]
+    order[start[:n]] = np.arange(n)
+    leaves = lambda i: order[start[i] : start[i] + size[i]]
+    found, stack = [], [(root, 1 / max(height[root], 1e-12), -1)] if n > 1 else []
+    while stack:  # clusters as [node, stability, number of the one above, children], those above first
+        node, birth, above = stack.pop()
+        found.append(mine := [node, 0.0, above, []])
+        if above >= 0:
+            found[above][3].append(len(found) - 1)
+        while node >= n:
+            a, b = kids[node]
+            lam = 1 / max(height[node], 1e-12)
+            if size[a] >= min_size and size[b] >= min_size:
+                mine[1] += size[node] * (lam - birth)
+                stack += [(a, lam, len(found) - 1), (b, lam, len(found) - 1)]
+                break
+            big, small = (a, b) if size[a] >= size[b] else (b, a)
+            mine[1] += size[small] * (lam - birth)
+            if size[big] < min_size:
+                mine[1] += size[big] * (lam - birth)
+                break
+            node = big
+    value, split = [f[1] for f in found], [False] * len(found)
+    for i in range(len(found) - 1, -1, -1):
+        if found[i][3] and (below := sum(value[c] for c in found[i][3])) > value[i]:
+            value[i], split[i] = below, True
+    chosen, stack = [], [0] if found else []
+    while stack:
+        i = stack.pop()
+        if split[i]:
+            stack += found[i][3]
+        elif i:
+            chosen.append(found[i][0])
+    labels = np.full(n, -1)
+    for no, c in enumerate(sorted(chosen, key=lambda c: leaves(c).min())):
+        labels[leaves(c)] = no
+    return labels
+
+
+def density_clusters(df: DataFrame, group: str, key: str, vector: str, *, min_size: int = 5, block: int = 2_000, fold: int = 8) -> DataFrame:
     """group, key, cluster: single-linkage components over mutual reachability, cut where a component splits in two of ``min_size``.
 
-    For groups of at most ``max_items`` (the hits of one keyword); larger ones are refused, not cut.
+    Exact for groups of any size; a key stands once in its group.  A group is spread by hash over blocks of about ``block`` items; each
+    task holds the distances of one pair of blocks.  Core distances are merged from the pairs, and the spanning tree is folded, ``fold``
+    forests a task, from the trees of the pairs, as an edge of the whole tree is in that of its pair.  The work grows with the square of
+    the group; one task sees ``fold`` edges an item, never the vectors of a whole group.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_items:
-            raise ValueError(f"a group has {len(pdf)} items, more than {max_items}")
-        pdf = pdf.sort_values(key)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        n = len(x)
-        labels = np.full(n, -1)
-        if n >= min_size:
-            sq = (x**2).sum(1)
-            d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
-            core = np.sort(d, axis=1)[:, min(min_size, n) - 1]
-            reach = np.maximum(np.maximum(d, core[:, None]), core[None])
-            inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-            cur, tree = 0, []
-            for _ in range(n - 1):
-                inside[cur] = True
-                closer = reach[cur] < best
-                best, via = np.where(closer, reach[cur], best), np.where(closer, cur, via)
-                nxt = int(np.argmin(np.where(inside, np.inf, best)))
-                tree.append((best[nxt], int(via[nxt]), nxt))
-                cur = nxt
-            parent, size = list(range(2 * n - 1)), [1] * n
-            kids, height = {}, {}
-            find = lambda i: i if parent[i] == i else find(parent[i])
-            top = {i: i for i in range(n)}
-            for h, a, b in sorted(tree):
-                ra, rb = find(top[a]), find(top[b])
-                new = n + len(kids)
-                kids[new], height[new] = (ra, rb), h
-                size.append(size[ra] + size[rb])
-                parent[ra] = parent[rb] = new
-            leaves = lambda i: [i] if i < n else leaves(kids[i][0]) + leaves(kids[i][1])
-            chosen, stack = [], [2 * n - 2] if n > 1 else []
-            import sys
-
-            sys.setrecursionlimit(max(10_000, 4 * n))
-
-            def mass(i: int, birth: float) -> tuple[float, list[int]]:
-                """Stability of the cluster at node i and the best choice of clusters below it."""
-                node, stable = i, 0.0
-                while True:
-                    if node < n:
-                        return stable, [i]
-                    a, b = kids[node]
-                    lam = 1 / max(height[node], 1e-12)
-                    if size[a] >= min_size and size[b] >= min_size:
-                        stable += size[node] * (lam - birth)
-                        (sa, ca), (sb, cb) = mass(a, lam), mass(b, lam)
-                        return (sa + sb, ca + cb) if sa + sb > stable else (stable, [i])
-                    big, small = (a, b) if size[a] >= size[b] else (b, a)
-                    stable += size[small] * (lam - birth)
-                    if size[big] < min_size:
-                        return stable + size[big] * (lam - birth), [i]
-                    node = big
-
-            if stack:
-                _, chosen = mass(stack[0], 1 / max(height[stack[0]], 1e-12))
-                chosen = [c for c in chosen if c != stack[0]]
-            for no, c in enumerate(sorted(chosen, key=lambda c: min(leaves(c)))):
-                labels[leaves(c)] = no
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": labels})
-
     f = {n: t for n, t in df.dtypes}
-    return df.select(group, key, vector).groupBy(group).applyInPandas(run, f"`{group}` {f[group]}, `{key}` {f[key]}, cluster int")
+    g, k = f"_g {f[group]}", f[key]
+    items = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    sizes = items.groupBy(F.col("_g").alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    most = sizes.agg(F.max("blocks")).head()[0] or 1
+    items = items.join(sizes, F.col("_g").eqNullSafe(F.col("g"))).drop("g").withColumn("at", F.pmod(F.xxhash64("_k"), F.col("blocks")).cast("int"))
+
+    def paired(d: DataFrame) -> DataFrame:
+        d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return d.withColumn("lo", F.least("at", "other")).withColumn("hi", F.greatest("at", "other")).groupBy("_g", "lo", "hi")
+
+    def sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], list[np.ndarray]]:
+        pdf = pdf.sort_values("_k").reset_index(drop=True)
+        ranks = [np.flatnonzero(pdf["at"] == at) for at in sorted({pdf["lo"].iloc[0], pdf["hi"].iloc[0]})]
+        x = np.stack(pdf["_v"].to_numpy()).astype(float)
+        return pdf, ranks, [x[r] for r in ranks]
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, ranks, xs = sides(pdf)
+        d = _distances(xs[0], xs[-1])
+        few = lambda m: np.sort(np.partition(m, min_size - 1, axis=1)[:, :min_size] if m.shape[1] > min_size else m, axis=1)
+        parts = zip(ranks, (d, d.T))  # within one block the rows only
+        return pd.concat([pd.DataFrame({"_g": pdf["_g"].iloc[r], "_k": pdf["_k"].iloc[r], "near": list(few(m))}) for r, m in parts])
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, ranks, xs = sides(pdf)
+        core = pdf["core"].to_numpy()
+        d = _distances(xs[0], xs[-1])
+        reach = np.maximum(np.maximum(d, core[ranks[0]][:, None]), core[ranks[-1]][None])
+        edges = _spanning_tree(reach, ranks[0], ranks[1] if len(ranks) > 1 else None) if all(map(len, ranks)) else []
+        h, a, b = zip(*edges) if edges else ([], [], [])
+        keys = pdf["_k"]
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]] * len(h), "slot": [int(pdf["lo"].iloc[0])] * len(h), "h": np.array(h, float), "a": keys.iloc[list(a)].to_numpy(), "b": keys.iloc[list(b)].to_numpy()})
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _forest(pdf)
+        code, keys = pd.factorize(pd.concat([pdf["a"], pdf["b"]]), sort=True)
+        n = len(pdf)
+        labels = _condense(list(zip(code[:n].tolist(), code[n:].tolist())), pdf["h"].tolist(), min_size)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]] * len(keys), "_k": keys, "cluster": labels})
+
+    near = paired(items).applyInPandas(nearest, f"{g}, _k {k}, near array<double>")
+    core = near.groupBy(F.col("_g").alias("g"), F.col("_k").alias("k")).agg(F.element_at(F.sort_array(F.flatten(F.collect_list("near"))), min_size).alias("core"))
+    cored = items.join(core, F.col("_g").eqNullSafe(F.col("g")) & (F.col("_k") == F.col("k"))).drop("g", "k")
+    edges = paired(cored).applyInPandas(tree, schema := f"{g}, slot int, h double, a {k}, b {k}")
+    while most > 1:
+        most = -(-most // fold)
+        edges = edges.withColumn("slot", (F.col("slot") / fold).cast("int")).groupBy("_g", "slot").applyInPandas(_forest, schema)
+    labels = edges.groupBy("_g").applyInPandas(label, f"{g}, _k {k}, cluster int")
+    return df.select(group, key).join(labels, F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k")), "left").select(group, key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
