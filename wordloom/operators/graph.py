@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.tokens import top
@@ -19,11 +18,14 @@ def vocabulary(df: DataFrame, tokens: Column, k: int = 2000) -> DataFrame:
 
 def edges(df: DataFrame, tokens: Column, vocab: DataFrame, doc: str, at_least: int = 5) -> DataFrame:
     """src < dst, weight: documents that hold both terms, ``at_least`` so many.  Terms outside the vocabulary go first."""
-    held = df.select(F.col(doc).alias("d"), F.explode(F.array_distinct(tokens)).alias("term")).join(broadcast_checked(vocab.select("term")), "term", "left_semi")
-    sets = held.groupBy("d").agg(F.sort_array(F.collect_set("term")).alias("t")).where(F.size("t") > 1)
-    a = sets.select("t", F.posexplode("t").alias("i", "src"))
-    pairs = a.select("src", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("dst"))
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= at_least)
+    terms = broadcast_checked(vocab.select("term", F.row_number().over(Window.orderBy("term")).alias("i")))  # numbers in order of the terms
+    held = df.select(F.col(doc).alias("d"), F.explode(F.array_distinct(tokens)).alias("term")).join(terms, "term")
+    sets = held.groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("t")).where(F.size("t") > 1)
+    a = sets.select("t", F.posexplode("t").alias("at", "a"))
+    pairs = a.select(F.explode(F.transform(F.slice("t", F.col("at") + 2, F.size("t")), lambda b: F.shiftleft(F.col("a").cast("long"), 32) + b)).alias("ab"))
+    counted = pairs.groupBy("ab").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= at_least).select(F.shiftright("ab", 32).cast("int").alias("a"), F.pmod("ab", F.lit(1 << 32)).cast("int").alias("b"), "weight")
+    src, dst = (terms.select(F.col("i").alias(i), F.col("term").alias(t)) for i, t in (("a", "src"), ("b", "dst")))
+    return counted.join(src, "a").join(dst, "b").select("src", "dst", "weight")
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -53,49 +55,42 @@ def modularity(e: DataFrame, labels: DataFrame) -> DataFrame:
     return c.agg(F.round(F.sum(F.coalesce(F.col("w_in"), F.lit(0)) / F.col("m") - (F.col("k") / (2 * F.col("m"))) ** 2), 4).alias("modularity"))
 
 
-def _louvain(edges_: list[tuple[str, str, float]], resolution: float) -> dict[str, int]:
-    """Greedy modularity by moving nodes and folding communities; nodes in sorted order, so the result is stable."""
-    nodes = sorted({x for e in edges_ for x in e[:2]})
-    member = {n: n for n in nodes}
-    graph: dict = defaultdict(lambda: defaultdict(float))
-    for a, b, w in edges_:
-        graph[a][b] += w
-        graph[b][a] += w
-    m2 = sum(sum(v.values()) for v in graph.values()) or 1.0
+def _louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float) -> np.ndarray:
+    """Greedy modularity by moving nodes and folding communities, on the dense matrix of the ``n`` nodes; nodes in order, so the result is stable."""
+    graph = np.zeros((n, n))
+    np.add.at(graph, (a, b), w)
+    graph += graph.T
+    m2 = graph.sum() or 1.0
+    member = np.arange(n)
     while True:
-        com = {n: n for n in graph}
-        k = {n: sum(v.values()) for n, v in graph.items()}
-        tot = dict(k)
+        com, k = np.arange(len(graph)), graph.sum(1)
+        tot, near = k.copy(), [np.flatnonzero(row) for row in graph]
         moved_any, moved = False, True
         while moved:
             moved = False
-            for n in sorted(graph):
-                tot[com[n]] -= k[n]
-                gain: dict = defaultdict(float)
-                for b, w in graph[n].items():
-                    if b != n:
-                        gain[com[b]] += w
-                best, value = com[n], gain.get(com[n], 0.0) - resolution * tot[com[n]] * k[n] / m2
-                for c in sorted(gain):
-                    v = gain[c] - resolution * tot[c] * k[n] / m2
+            for i in range(len(graph)):
+                tot[com[i]] -= k[i]
+                to = near[i][near[i] != i]
+                gain = np.bincount(com[to], graph[i, to], len(graph))
+                best, value = com[i], gain[com[i]] - resolution * tot[com[i]] * k[i] / m2
+                for c in np.unique(com[to]).tolist():
+                    v = gain[c] - resolution * tot[c] * k[i] / m2
                     if v > value + 1e-12:
                         best, value = c, v
-                if best != com[n]:
-                    com[n], moved, moved_any = best, True, True
-                tot[com[n]] += k[n]
-        member = {n: com[c] for n, c in member.items()}
+                if best != com[i]:
+                    com[i], moved, moved_any = best, True, True
+                tot[com[i]] += k[i]
+        member = com[member]
         if not moved_any:
             break
-        folded: dict = defaultdict(lambda: defaultdict(float))
-        for a, v in graph.items():
-            for b, w in v.items():
-                folded[com[a]][com[b]] += w
-        graph = folded
-    sizes = defaultdict(int)
-    for c in member.values():
-        sizes[c] += 1
-    order = {c: i for i, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
-    return {n: order[c] for n, c in member.items()}
+        names, to = np.unique(com, return_inverse=True)
+        folded = np.zeros((len(names), len(names)))
+        np.add.at(folded, (to[:, None], to[None]), graph)
+        graph, member = folded, np.searchsorted(names, member)
+    sizes = np.bincount(member)
+    order = np.empty(len(sizes), int)
+    order[np.lexsort((np.arange(len(sizes)), -sizes))] = np.arange(len(sizes))
+    return order[member]
 
 
 def communities(e: DataFrame, resolutions: list[float]) -> DataFrame:
@@ -103,7 +98,8 @@ def communities(e: DataFrame, resolutions: list[float]) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = float(pdf["resolution"].iloc[0])
-        labels = pd.Series(_louvain(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)), r)).rename_axis("term").reset_index(name="community")
+        code, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)
+        labels = pd.DataFrame({"term": names, "community": _louvain(code[: len(pdf)], code[len(pdf) :], pdf["weight"].to_numpy(float), len(names), r)})
         labels["size"] = labels.groupby("community")["term"].transform("size")
         return labels.assign(resolution=r)[["resolution", "community", "size", "term"]]
 

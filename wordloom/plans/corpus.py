@@ -328,6 +328,13 @@ def _edges(s, d):
     return graph.edges(c, F.col("w"), graph.vocabulary(c, F.col("w"), 150), "row_id")
 
 
+def whole_edges(s, d, kind=None):
+    """Edges over the reference's 2,000 terms, of tokenizer B (F03), in all rows or in those of one type."""
+    c = corpus(s, d) if kind is None else corpus(s, d).where(F.col("type") == kind)
+    c = c.select("row_id", tokens.content(tokens.loose_words(F.col("body"))).alias("w"))
+    return graph.edges(c, F.col("w"), graph.vocabulary(c, F.col("w")), "row_id")
+
+
 @q("k06_vocabulary", _VOC)
 def k06(s, d):
     return graph.vocabulary(corpus(s, d).select(tokens.content(W).alias("w")), F.col("w"), 150)
@@ -350,7 +357,7 @@ def k10(s, d):
 
 @q("k11_communities")
 def k11(s, d):
-    return graph.communities(_edges(s, d), [0.5, 1.0, 2.0])
+    return graph.communities(whole_edges(s, d), [0.5, 1.0, 2.0])
 
 
 @q("k14_ego_graph", f"WITH {_EDGES}, a AS (SELECT min(src) AS t FROM e), n AS (SELECT src AS t FROM e WHERE dst = (SELECT t FROM a) UNION SELECT dst FROM e WHERE src = (SELECT t FROM a) UNION SELECT t FROM a) SELECT src, dst, weight FROM e WHERE src IN (SELECT t FROM n) AND dst IN (SELECT t FROM n)")
