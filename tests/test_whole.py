@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_queries import DIR, same
-from wordloom.operators import graph
+from wordloom.operators import graph, tokens
 from wordloom.plans import whole
 
 data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -31,3 +31,10 @@ def test_edges_keep_the_order_of_terms(spark):
     df = spark.createDataFrame([(i, ["b", "a", "c-d", "Z", "b"]) for i in range(5)], "id int, t array<string>")
     got = {(r["src"], r["dst"], r["weight"]) for r in graph.edges(df, F.col("t"), graph.vocabulary(df, F.col("t")), "id").collect()}
     assert got == {("Z", "a", 5), ("Z", "b", 5), ("Z", "c-d", 5), ("a", "b", 5), ("a", "c-d", 5), ("b", "c-d", 5)}
+
+
+def test_kwic_keeps_short_words(spark):
+    df = spark.createDataFrame([(1, "I said: talk to a therapist, it is ok")], "id int, t string")
+    seeds = spark.createDataFrame([("talk to a therapist",)], "seed string").withColumn("seed_tokens", tokens.loose_words(F.col("seed")))
+    got = tokens.kwic(df, tokens.loose_words(F.col("t")), seeds, [1, 5], ["id"]).orderBy("width").collect()
+    assert [(r["pos"], r["width"], r["left_context"], r["right_context"]) for r in got] == [(2, 1, "said", "it"), (2, 5, "i said", "it is ok")]

@@ -105,11 +105,21 @@ def compare(a: DataFrame, b: DataFrame, k: int = 200) -> DataFrame:
     return rows.select("term", "a", "b", F.round(pa, 4).alias("a_per_1k"), F.round(pb, 4).alias("b_per_1k"), F.round((F.col("a") / F.col("na")) / F.greatest(F.col("b") / F.col("nb"), F.lit(1e-9)), 4).alias("ratio"))
 
 
-def kwic(df: DataFrame, tokens: Column, seeds: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """keep, seed, pos, left, right: every place where the tokens of a seed (seed, seed_tokens) follow one another."""
+def hits(df: DataFrame, tokens: Column, seeds: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, t, seed, seed_tokens, pos: every place where the tokens of a seed (seed, seed_tokens) follow one another."""
     s = broadcast_checked(seeds.select("seed", "seed_tokens", F.element_at("seed_tokens", 1).alias("head")).where(F.size("seed_tokens") > 0))
     rows = df.select(*keep, tokens.alias("t")).select(*keep, "t", F.posexplode("t").alias("pos", "head")).join(s, "head")
     n, p = F.size("seed_tokens"), F.col("pos")
-    hit = rows.where(F.slice("t", p + 1, n) == F.col("seed_tokens"))
-    left = F.slice("t", F.greatest(p - width, F.lit(0)) + 1, F.least(p, F.lit(width)))
-    return hit.select(*keep, "seed", "pos", F.array_join(left, " ").alias("left_context"), F.array_join(F.slice("t", p + n + 1, F.lit(width)), " ").alias("right_context"))
+    return rows.where(F.slice("t", p + 1, n) == F.col("seed_tokens")).select(*keep, "t", "seed", "seed_tokens", "pos")
+
+
+def kwic(df: DataFrame, tokens: Column, seeds: DataFrame, width: int | list[int], keep: list[str]) -> DataFrame:
+    """keep, seed, pos, left, right of the ``hits``; several widths give a row and a column ``width`` each."""
+    hit = hits(df, tokens, seeds, keep)
+    if isinstance(width, list):
+        hit, keep, w = hit.withColumn("width", F.explode(F.array(*[F.lit(x) for x in width]))), [*keep, "width"], F.col("width")
+    else:
+        w = F.lit(width)
+    n, p = F.size("seed_tokens"), F.col("pos")
+    left = F.slice("t", F.greatest(p - w, F.lit(0)) + 1, F.least(p, w))
+    return hit.select(*keep, "seed", "pos", F.array_join(left, " ").alias("left_context"), F.array_join(F.slice("t", p + n + 1, w), " ").alias("right_context"))

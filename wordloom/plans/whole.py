@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordloom.operators import graph, tokens
-from wordloom.plans.catalog import Catalog
-from wordloom.plans.corpus import STOP, C, corpus, whole_edges
+from wordloom.plans.catalog import Catalog, table
+from wordloom.plans.corpus import STOP, C, corpus, docs, whole_edges
 from wordloom.plans.more import LOOSE
 from wordloom.storage import attach
 
@@ -78,3 +78,24 @@ def k16(s, d):
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
     x = attach(attach(attach(attach(count(tops[100][0].intersect(tops[100][1]), "shared"), count(tops[100][0].union(tops[100][1]).distinct(), "u")), count(tops[20][0].intersect(tops[20][1]), "top20_shared")), dens[0]), dens[1])
     return x.select("shared", F.round(F.when(F.col("u") == 0, 0.0).otherwise(F.col("shared") / F.col("u")), 4).alias("jaccard"), "top20_shared", F.round(F.when(F.col("dm") > 0, F.col("dp") / F.col("dm")).otherwise(0.0), 4).alias("density_ratio"))
+
+
+_SEEDS = f"SELECT DISTINCT term AS seed, {LOOSE.replace('body', 'term')} AS st FROM seed_terms_round_2"
+_HITS = f"t AS MATERIALIZED (SELECT row_id, type, {LOOSE} AS w FROM {C}), s AS MATERIALIZED ({_SEEDS}), p AS MATERIALIZED (SELECT row_id, type, w, unnest(range(len(w))) AS pos FROM t), h AS MATERIALIZED (SELECT row_id, type, w, pos, seed, len(st) AS n FROM p JOIN s ON w[pos + 1] = st[1] AND w[pos + 1:pos + len(st)] = st)"
+
+
+def _seeds(s, d):
+    return table(s, d, "seed_terms_round_2").select(F.col("term").alias("seed"), tokens.loose_words(F.col("term")).alias("seed_tokens")).distinct()
+
+
+@q("k01_kwic_whole", f"WITH {_HITS} SELECT row_id, width, seed, pos, array_to_string(w[greatest(pos - width + 1, 1):pos], ' ') AS left_context, array_to_string(w[pos + n + 1:pos + n + width], ' ') AS right_context FROM h, (SELECT unnest([5, 10, 20]) AS width)")
+def k01(s, d):
+    return tokens.kwic(corpus(s, d), tokens.loose_words(F.col("body")), _seeds(s, d), [5, 10, 20], ["row_id"])
+
+
+@q("k02_hit_counts_whole", f"WITH {_HITS} SELECT seed, width, count(row_id) AS total, count_if(coalesce(type = 'post', false)) AS posts, count_if(coalesce(type = 'comment', false)) AS comments FROM s LEFT JOIN h USING (seed), (SELECT unnest([5, 10, 20]) AS width) GROUP BY seed, width")
+def k02(s, d):
+    """Every seed at every width, which can't change its counts; 0 where there is no hit."""
+    seeds = _seeds(s, d)
+    h = tokens.hits(corpus(s, d), tokens.loose_words(F.col("body")), seeds, ["type"]).groupBy("seed").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"))
+    return seeds.select("seed").join(h, "seed", "left").na.fill(0, ["total", "posts", "comments"]).withColumn("width", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))))
