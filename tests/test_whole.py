@@ -38,3 +38,10 @@ def test_kwic_keeps_short_words(spark):
     seeds = spark.createDataFrame([("talk to a therapist",)], "seed string").withColumn("seed_tokens", tokens.loose_words(F.col("seed")))
     got = tokens.kwic(df, tokens.loose_words(F.col("t")), seeds, [1, 5], ["id"]).orderBy("width").collect()
     assert [(r["pos"], r["width"], r["left_context"], r["right_context"]) for r in got] == [(2, 1, "said", "it"), (2, 5, "i said", "it is ok")]
+
+
+def test_comparison_takes_true_counts(spark):
+    mk = lambda c: spark.createDataFrame(c, "term string, n long")
+    a, b = mk([("x", 9), ("y", 5), ("q", 1)]), mk([("z", 9), ("y", 6), ("x", 4)])
+    assert {r["term"]: (r["a"], r["b"]) for r in tokens.compare_whole(a, b, 1).collect()} == {"x": (9, 4), "z": (0, 9)}
+    assert [r["term"] for r in tokens.compare_whole(a, b, None).where("b = 0").collect()] == ["q"]

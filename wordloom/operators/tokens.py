@@ -96,6 +96,16 @@ def collocations(df: DataFrame, tokens: Column, anchors: list[str], windows: lis
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("anchor", "width", "term", "cooc", "anchor_n", "freq", "pmi", "rank")
 
 
+def compare_whole(a: DataFrame, b: DataFrame, k: int | None = 200) -> DataFrame:
+    """As ``compare``, but each term has its true count on both sides; without ``k`` all terms are compared."""
+    both = a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), "term", "full_outer").na.fill(0, ["a", "b"])
+    if k is not None:
+        both = both.join(broadcast_checked(top(a, k).union(top(b, k)).select("term").distinct()), "term", "left_semi")
+    rows = attach(attach(both, a.agg(F.sum("n").alias("na"))), b.agg(F.sum("n").alias("nb")))
+    pa, pb = F.col("a") / F.col("na"), F.col("b") / F.col("nb")
+    return rows.select("term", "a", "b", F.round(pa * 1000, 4).alias("a_per_1k"), F.round(pb * 1000, 4).alias("b_per_1k"), F.round(pa / F.greatest(pb, F.lit(1e-9)), 4).alias("ratio"))
+
+
 def compare(a: DataFrame, b: DataFrame, k: int = 200) -> DataFrame:
     """term, a_per_1k, b_per_1k, ratio of the union of the ``k`` most frequent terms of both; true totals are the denominators."""
     total = lambda d, name: d.agg(F.sum("n").alias(name))

@@ -99,3 +99,25 @@ def k02(s, d):
     seeds = _seeds(s, d)
     h = tokens.hits(corpus(s, d), tokens.loose_words(F.col("body")), seeds, ["type"]).groupBy("seed").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"))
     return seeds.select("seed").join(h, "seed", "left").na.fill(0, ["total", "posts", "comments"]).withColumn("width", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))))
+
+
+_URL = "https?://\\S+|www\\.\\S+|\\[[^\\]]*\\]\\([^)]*\\)"
+STRICT = f"list_filter(regexp_extract_all(lower(regexp_replace(coalesce({{c}}, ''), '{_URL}', ' ', 'g')), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Pc}}}}]+'), lambda x: regexp_full_match(x, '[a-z]{{{{3,}}}}'))".replace("{{", "{").replace("}}", "}")
+_BODY, _TEXT, _TERM = (STRICT.replace("{c}", c) for c in ("body", "text", "anchor"))
+
+
+def _strict(c="body"):
+    return tokens.strict_words(F.col(c))
+
+
+_CMP = f"WITH f AS (SELECT type, term, count(*) AS n FROM (SELECT type, unnest({_BODY}) AS term FROM {C} WHERE type IS NOT NULL) GROUP BY type, term), x AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, term) AS r FROM f), z AS (SELECT term, coalesce(sum(n) FILTER (WHERE type = 'post'), 0) AS a, coalesce(sum(n) FILTER (WHERE type = 'comment'), 0) AS b, min(r) FILTER (WHERE type IN ('post', 'comment')) AS r FROM x GROUP BY term), w AS (SELECT *, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM z), r AS (SELECT term, a, b, round(a / ta * 1000, 4) AS a_per_1k, round(b / tb * 1000, 4) AS b_per_1k, round((a / ta) / greatest(b / tb, 1e-9), 4) AS ratio, r FROM w WHERE a + b > 0) "
+
+
+def _compared(s, d, k=200):
+    f = tokens.frequency(corpus(s, d).where("type IS NOT NULL"), _strict(), ["type"])
+    return tokens.compare_whole(f.where("type = 'post'").select("term", "n"), f.where("type = 'comment'").select("term", "n"), k)
+
+
+q("f14_corpus_compare_whole", _CMP + "SELECT * EXCLUDE (r) FROM r WHERE r <= 200")(_compared)
+q("f15_elevated_whole", _CMP + "SELECT term, a, ratio FROM r WHERE r <= 200 AND ratio >= 1.05 AND a >= 20")(lambda s, d: _compared(s, d).where("ratio >= 1.05 AND a >= 20").select("term", "a", "ratio"))
+q("f16_only_in_a_whole", _CMP + "SELECT term FROM r WHERE b = 0")(lambda s, d: _compared(s, d, None).where("b = 0").select("term"))
