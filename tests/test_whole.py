@@ -45,3 +45,10 @@ def test_comparison_takes_true_counts(spark):
     a, b = mk([("x", 9), ("y", 5), ("q", 1)]), mk([("z", 9), ("y", 6), ("x", 4)])
     assert {r["term"]: (r["a"], r["b"]) for r in tokens.compare_whole(a, b, 1).collect()} == {"x": (9, 4), "z": (0, 9)}
     assert [r["term"] for r in tokens.compare_whole(a, b, None).where("b = 0").collect()] == ["q"]
+
+
+def test_fragments_are_no_words(spark):
+    df = spark.createDataFrame([("erklärte abc_def gpt4all plain",)], "t string")
+    with tokens.splitting(tokens.strict_words):
+        assert df.select(tokens.words(F.col("t"))).head()[0] == ["plain"]
+    assert df.select(tokens.words(F.col("t"))).head()[0] == ["erkl", "rte", "abc", "def", "gpt", "all", "plain"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +16,23 @@ from wordloom.storage import attach, broadcast_checked
 STOPWORDS = tuple("""a about after again all also although am an and any are as at be because been before being but by can could did do does doing down during each even for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your wa ha doe wo""".split())
 
 
+_splitter: ContextVar[Callable[[Column], Column] | None] = ContextVar("splitter", default=None)
+
+
+@contextmanager
+def splitting(by: Callable[[Column], Column]) -> Iterator[None]:
+    """Within it ``words`` splits as ``by`` does."""
+    was = _splitter.set(by)
+    try:
+        yield
+    finally:
+        _splitter.reset(was)
+
+
 def words(c: Column) -> Column:
     """Lower-cased runs of three or more of a-z, split at every other character; URLs and links are no words."""
+    if by := _splitter.get():
+        return by(c)
     return F.filter(F.split(F.lower(strip_urls(F.coalesce(c, F.lit("")))), "[^a-z]+"), lambda w: F.length(w) >= 3)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordloom.operators import graph, tokens
+from wordloom.plans import corpus as cut
+from wordloom.plans import more
 from wordloom.plans.catalog import Catalog, table
-from wordloom.plans.corpus import STOP, C, corpus, docs, whole_edges
+from wordloom.plans.corpus import BODY, STOP, C, corpus, docs, whole_edges
 from wordloom.plans.more import LOOSE
 from wordloom.storage import attach
 
@@ -121,3 +123,20 @@ def _compared(s, d, k=200):
 q("f14_corpus_compare_whole", _CMP + "SELECT * EXCLUDE (r) FROM r WHERE r <= 200")(_compared)
 q("f15_elevated_whole", _CMP + "SELECT term, a, ratio FROM r WHERE r <= 200 AND ratio >= 1.05 AND a >= 20")(lambda s, d: _compared(s, d).where("ratio >= 1.05 AND a >= 20").select("term", "a", "ratio"))
 q("f16_only_in_a_whole", _CMP + "SELECT term FROM r WHERE b = 0")(lambda s, d: _compared(s, d, None).where("b = 0").select("term"))
+
+
+def _split_by(name: str, by, sql: str) -> None:
+    """Register the query ``name`` with another tokenizer in it and in its SQL."""
+    c = cut.catalog if name in cut.catalog.queries else more.catalog
+
+    def run(s, d):
+        with tokens.splitting(by):
+            return c.queries[name](s, d)
+
+    q(f"{name}_whole", c.sql[name].replace(BODY, sql))(run)
+
+
+for _n in ("f01_token_counts", "f08_variants", "f10_ngrams_2", "f10_ngrams_3", "f10_ngrams_4", "f17_stop_candidates", "f18_summary", "rp04_category_pivot", "rp05_daily_rate", "rp06_rolling_mean"):
+    _split_by(_n, tokens.strict_words, _BODY)
+for _n in ("k04_seed_distribution", "k13_document_frequency"):
+    _split_by(_n, tokens.loose_words, LOOSE)
