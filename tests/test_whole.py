@@ -47,6 +47,13 @@ def test_comparison_takes_true_counts(spark):
     assert [r["term"] for r in tokens.compare_whole(a, b, None).where("b = 0").collect()] == ["q"]
 
 
+def test_phrases_have_neighbours(spark):
+    df = spark.createDataFrame([("seek professional help from friends".split(),)] * 5, "t array<string>")
+    anchors = spark.createDataFrame([("professional help", ["professional", "help"]), ("help", ["help"])], "seed string, seed_tokens array<string>")
+    got = {(r["anchor"], r["width"], r["term"]): (r["cooc"], r["anchor_n"]) for r in tokens.phrase_collocations(df, F.col("t"), anchors, [1, 5]).collect()}
+    assert got["professional help", 5, "friends"] == (5, 5) and got["professional help", 1, "seek"] == (5, 5) and ("professional help", 1, "help") not in got and ("help", 1, "professional") in got
+
+
 def test_fragments_are_no_words(spark):
     df = spark.createDataFrame([("erklärte abc_def gpt4all plain",)], "t string")
     with tokens.splitting(tokens.strict_words):

@@ -115,6 +115,24 @@ def collocations(df: DataFrame, tokens: Column, anchors: list[str], windows: lis
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).select("anchor", "width", "term", "cooc", "anchor_n", "freq", "pmi", "rank")
 
 
+def phrase_collocations(df: DataFrame, tokens: Column, anchors: DataFrame, windows: list[int], *, at_least: int = 5, keep: int = 50) -> DataFrame:
+    """As ``collocations`` for anchors (seed, seed_tokens) of any number of tokens, of which none counts as a neighbour."""
+    docs = df.select(tokens.alias("t"))
+    at = hits(docs, F.col("t"), anchors, [])
+    n, p, w = F.size("seed_tokens"), F.col("pos"), F.col("width")
+    near = F.concat(F.slice("t", F.greatest(p - w, F.lit(0)) + 1, F.least(p, w)), F.slice("t", p + n + 1, w))
+    wide = at.withColumn("width", F.explode(F.array(*[F.lit(x) for x in windows])))
+    terms = wide.select(F.col("seed").alias("anchor"), "width", F.explode(F.filter(near, lambda x: ~F.array_contains("seed_tokens", x))).alias("term"))
+    cooc = terms.where(~F.col("term").isin(*STOPWORDS)).groupBy("anchor", "width", "term").agg(F.count(F.lit(1)).alias("cooc")).where(F.col("cooc") >= at_least)
+    freq = frequency(docs, F.col("t"))
+    anchor_n = at.groupBy(F.col("seed").alias("anchor")).agg(F.count(F.lit(1)).alias("anchor_n"))
+    rows = cooc.join(freq.withColumnRenamed("n", "freq"), "term").join(broadcast_checked(anchor_n), "anchor")
+    rows = attach(rows, freq.agg(F.sum("n").alias("total")))
+    rows = rows.withColumn("pmi", F.round(pmi(F.col("cooc"), F.col("total"), F.col("anchor_n"), F.col("freq")), 4))
+    r = Window.partitionBy("anchor", "width").orderBy(F.desc("pmi"), "term")
+    return rows.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= keep).select("anchor", "width", "term", "cooc", "anchor_n", "freq", "pmi", "rank")
+
+
 def compare_whole(a: DataFrame, b: DataFrame, k: int | None = 200) -> DataFrame:
     """As ``compare``, but each term has its true count on both sides; without ``k`` all terms are compared."""
     both = a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), "term", "full_outer").na.fill(0, ["a", "b"])

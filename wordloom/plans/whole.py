@@ -125,6 +125,27 @@ q("f15_elevated_whole", _CMP + "SELECT term, a, ratio FROM r WHERE r <= 200 AND
 q("f16_only_in_a_whole", _CMP + "SELECT term FROM r WHERE b = 0")(lambda s, d: _compared(s, d, None).where("b = 0").select("term"))
 
 
+_ANCHORS = ["warning", "therapist", "reminder"]
+
+
+@q("f13_collocation_pmi_whole", f"WITH t AS MATERIALIZED (SELECT row_id, {_BODY} AS w FROM {C}), s AS MATERIALIZED (SELECT anchor, {_TERM} AS st FROM (SELECT DISTINCT term AS anchor FROM seed_terms_round_2 UNION SELECT unnest({_ANCHORS}))), p AS MATERIALIZED (SELECT row_id, w, unnest(range(len(w))) AS pos FROM t), f AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM t) GROUP BY x), h AS MATERIALIZED (SELECT anchor, st, w, pos FROM p JOIN s ON w[pos + 1] = st[1] AND w[pos + 1:pos + len(st)] = st), n AS (SELECT anchor, count(*) AS anchor_n FROM h GROUP BY anchor), c AS (SELECT anchor, width, term, count(*) AS cooc FROM (SELECT anchor, st, width, unnest(list_concat(w[greatest(pos - width + 1, 1):pos], w[pos + len(st) + 1:pos + len(st) + width])) AS term FROM h, (SELECT unnest([5, 10, 20]) AS width)) WHERE NOT list_contains(st, term) AND term NOT IN ({STOP}) GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT anchor, width, term, cooc, anchor_n, n AS freq, round(log2(cooc * (SELECT sum(n) FROM f)::DOUBLE / (anchor_n * n)), 4) AS pmi FROM c JOIN n USING (anchor) JOIN f ON x = term) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, width ORDER BY pmi DESC, term) AS rank FROM r) WHERE rank <= 50")
+def f13(s, d):
+    """Three words and the phrases of the seed terms, split as the texts are."""
+    anchors = table(s, d, "seed_terms_round_2").select(F.col("term").alias("seed")).union(s.createDataFrame([(a,) for a in _ANCHORS], "seed string")).distinct()
+    return tokens.phrase_collocations(corpus(s, d), _strict(), anchors.withColumn("seed_tokens", _strict("seed")), [5, 10, 20])
+
+
+@q("f11_skipgrams_whole", " UNION ALL ".join(f"(WITH t AS (SELECT row_id, {_BODY} AS w FROM {C}), p AS (SELECT row_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t) SELECT {k} AS skip, a.x AS first, b.x AS second, count(*) AS n FROM p a JOIN p b ON a.row_id = b.row_id AND b.i - a.i BETWEEN 1 AND {k + 1} GROUP BY ALL ORDER BY n DESC, first, second LIMIT 200)" for k in (1, 2)))
+def f11(s, d):
+    one, two = (tokens.skipgrams(corpus(s, d), _strict(), k).orderBy(F.desc("n"), "first", "second").limit(200).select(F.lit(k).alias("skip"), "first", "second", "n") for k in (1, 2))
+    return one.union(two)
+
+
+@q("f09_unigram_topn_whole", f"SELECT source, rank, term, n FROM (SELECT source, term, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM (SELECT source, term, count(*) AS n FROM (SELECT source, unnest({_TEXT}) AS term FROM documents) WHERE term NOT IN ({STOP}) GROUP BY source, term)) WHERE rank <= 500")
+def f09(s, d):
+    return tokens.top(tokens.frequency(docs(s, d), tokens.content(_strict("text")), ["source"]), 500, ["source"]).select("source", "rank", "term", "n")
+
+
 def _split_by(name: str, by, sql: str) -> None:
     """Register the query ``name`` with another tokenizer in it and in its SQL."""
     c = cut.catalog if name in cut.catalog.queries else more.catalog
