@@ -1,4 +1,4 @@
-"""Agreement of clusterings and of coders, exemplars and density clusters."""
+"""Agreement of clusterings and of coders, exemplars and density clusters."""
 
 from __future__ import annotations
 
