@@ -188,6 +188,22 @@ def test_residue_held_out_accuracy(spark):
     assert residue.find_residue(df.limit(0), residue.fit(df.limit(0), text="body"), text="body").count() == 0
 
 
+def test_residue_finds_forms_that_no_trusted_record_has(spark):
+    rnd = random.Random(5)
+    who, verbs, what, ends = ["the bot", "my assistant", "our tutor", "that model"], ["ignored", "praised", "forgot", "rewrote", "quoted"], ["the recipe", "my diary", "the map of the island", "a poem", "the quiz"], ["and I took a walk", "before lunch", "so we laughed", "for no reason", "on the phone"]
+    post = lambda: " ".join(f"{rnd.choice(who).capitalize()} {rnd.choice(verbs)} {rnd.choice(what)} {rnd.choice(ends)}." for _ in range(rnd.randrange(1, 6)))
+    known = [lambda: f"Error {rnd.choice([404, 502])}: upstream gone. Request id {rnd.randrange(10**7)}", lambda: "Hi {{first_name}}, your topic {{topic}} was received.", lambda: "Please enable JavaScript to see this page.", lambda: "Checking your browser... token " + str(rnd.randrange(10**8)), lambda: "Access denied. Reference " + str(rnd.randrange(10**8)), lambda: "asdf " * rnd.randrange(2, 8)]
+    new = [lambda: f"Start | Topics | Sign in\n\nNothing was found there.\n\nCase {rnd.randrange(10**7)}", lambda: "@@HEAD@@ :: @@BODY@@", lambda: "qwer " * rnd.randrange(4, 9), lambda: "Insert copy here. Overwrite it before release."]
+    assert not any(residue.TRUSTED.search(f()) for f in new)
+    rows = [(i + 10_000, post()) for i in range(4000)] + [(2000 + i, rnd.choice(known)()) for i in range(120)] + [(3000 + i, new[i % 4]()) for i in range(40)]  # each new form in a 400th of the rows
+    rows += [(4000, post() + " Access denied. That is all it said. " + post()), (4001, "A lost title [removed]"), (4002, None), (4003, post() + " " + "word " * 60_000)]
+    df = spark.createDataFrame(rows, "row_id long, body string")
+    got = {r[0] for r in residue.find_residue(df, residue.fit(df, text="body"), text="body").collect()}
+    held = {i for i, _ in rows if 3000 <= i < 4000}
+    assert {i for i, _ in rows if 2000 <= i < 3000} <= got and not {i for i in got if i >= 10_000 or 4000 <= i < 4003}
+    assert len(got & held) >= 0.95 * len(held)
+
+
 # encoding
 
 @needs_vocabulary
