@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of this process that ``clear_scratch`` removes.
+_scratch: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is configured."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary folder and a cluster an error, as its executors share no
+    folder of the driver's machine.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return str(current.get()).rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
-    return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return str(current.get()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed by ``clear_scratch`` or when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clear_at_exit)
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables made so far; call it when no result that reads them is needed any more."""
+    while _scratch:
+        remove(spark, _scratch.pop())
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            clear_scratch(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -33,10 +64,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_manifest(spark: SparkSession, path: str, version: int, content: dict) -> None:
+    """Version ``version`` of the manifest of the table set below ``path``: written aside, then renamed; the one before the last goes."""
+    fs, target = _fs(spark, f"{path}/manifest-{version:06d}.json")
+    _, aside = _fs(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if not fs.rename(aside, target):
+        raise RuntimeError(f"{path} was changed by another writer")
+    remove(spark, f"{path}/manifest-{version - 2:06d}.json")
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[int, dict] | None:
+    """The last version and its content, or None where there is no manifest."""
+    fs, p = _fs(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    names = [n for n in names if n.startswith("manifest-")]
+    if not names:
+        return None
+    text = "\n".join(r[0] for r in spark.read.text(f"{path}/{names[-1]}").collect())  # one line
+    return int(names[-1][9:-5]), json.loads(text)
 
 
 def bounded(df: DataFrame, max_rows: int) -> tuple[list, bool]:
