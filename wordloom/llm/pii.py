@@ -1,13 +1,14 @@
 """Personal information in free text: anchors are found in one pass, local parsers expand and check them.
 
-An Aho-Corasick automaton over the lower-cased text finds at-signs, digits, street words, identifier cues, titles,
-known names and introducing phrases.  Each hit starts a parser that reads only its surroundings, so a text
-without anchors costs one pass.  Found spans become typed placeholders; the rest of the text stays as it is.
+An Aho-Corasick automaton over the lower-cased text finds at-signs, schemes, digits, street words, identifier cues, titles,
+known names and introducing phrases.  Each hit starts a parser that expands it to the bounds of its own tokens, however
+long these are, so a text without anchors costs one pass.  Found spans become typed placeholders; the rest of the text stays as it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -18,22 +19,23 @@ from pyspark.sql import functions as F
 from wordloom.storage import bounded
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: A lexicon above this is refused: it is sent to every worker.
+#: A lexicon up to this size is sent to every worker; of a larger one each record gets the names that stand in it.
 MAX_NAMES = 200_000
 
 # Words that start a parser.
+SCHEMES = ("mailto:", "xmpp:", "sip:", "tel:", "sms:", "callto:", "whatsapp:")
 AT_CUES = ("@", "＠", "(at)", "[at]", "{at}", " at ")
 STREET_CUES = ("street", "lane", "close", "court", "road", "avenue", "drive", "boulevard", "place", "terrace", "square", "crescent", " ave", " rd", " st.", " dr.", " ln", " blvd", " way", "straße", "strasse", "weg", "platz", "allee", "gasse", "rue ", "calle ", "avenida ", "plaza ", "paseo ", "box ", "postfach ", "apartado ", "boîte postale ")
 ID_CUES = ("ssn", "social security", "sozialversicherung", "sécurité sociale", "seguridad social", "national id", "national insurance", "ni number", "nino", "passport", "passeport", "pasaporte", "reisepass", "driving licen", "driver licen", "driver's licen", "drivers licen", "führerschein", "permis de conduire", "carnet de conducir", "dni", "nif", "steuer-id", "steuer-identifikations", "steuernummer", "tax id", "tax number", "taxpayer", "personalausweis", "insured person", "insurance number", "identity card", "id card", "id number")
 TITLES = ("mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "herr", "frau", "señor", "señora", "sr", "sra", "dra", "mme", "mlle", "madame", "monsieur", "doctor")
-INTRODUCTIONS = ("my name is", "i am", "i'm", "i’m", "this is", "ich heiße", "ich heisse", "ich bin", "mein name ist", "je m'appelle", "je suis", "me llamo", "mi nombre es", "soy", "signed", "signed it with", "regards,", "cheers,", "sincerely,", "grüße,", "greeted me as", "called me", "belongs to", "ask for", "therapist", "counsellor", "colleague", "landlord", "neighbour", "told me that", "account of", "named", "care of", "attn")
+INTRODUCTIONS = ("my name is", "i am", "i'm", "i’m", "this is", "ich heiße", "ich heisse", "ich bin", "mein name ist", "je m'appelle", "je suis", "me llamo", "mi nombre es", "soy", "signed", "signed by", "regards,", "cheers,", "sincerely,", "grüße,", "called me", "ask for", "therapist", "counsellor", "colleague", "landlord", "neighbour", "named", "care of", "attn")
 #: Words that are no part of a name though they may stand capitalised beside one.
-NO_NAME = frozenset("""a about after again all also although an and another any as ask at back be because been before but by call can cheers contact could dear did do does down during each either even every finally first for from fun halfway he hello her here hey hi his honestly how however i id if in incident into is it its last later long maybe me meanwhile mine mr mrs ms my never next no nobody not now of oh on once one or our out over people perhaps please post regards reply right sadly said she ship signed since sincerely small so some somehow somewhere still strangely sure thank thanks that the their them then there these they this those to towards twice two under until up was we well were what when where which while who why will with within without yesterday you your edit update order ticket chapter version day week part notes log reference ref box flat apartment street lane quillo tessera ombra assistant bot der die das ein eine und ich mein meine nach im am es sie er wir nicht wie was warum unser unsere mit von zu auf für le la les un une et je mon ma mes il elle nous pourquoi dans avec pour sur el los las una y mi mis nuestro nuestra por qué con para en del al tel whatsapp heiße schreibe asked would read always""".split())
+NO_NAME = frozenset("""a about after again all also although an and another any as ask at back be because been before but by call can cheers contact could dear did do does down during each either even every finally first for from fun halfway he hello her here hey hi his honestly how however i id if in incident into is it its last later long maybe me meanwhile mine mr mrs ms my never next no nobody not now of oh on once one or our out over people perhaps please post regards reply right sadly said she ship signed since sincerely small so some somehow somewhere still strangely sure thank thanks that the their them then there these they this those to towards twice two under until up was we well were what when where which while who why will with within without yesterday you your edit update order ticket chapter version day week part notes log reference ref box flat apartment street lane assistant bot der die das ein eine und ich mein meine nach im am es sie er wir nicht wie was warum unser unsere mit von zu auf für le la les un une et je mon ma mes il elle nous pourquoi dans avec pour sur el los las una y mi mis nuestro nuestra por qué con para en del al tel whatsapp heiße schreibe asked would read always""".split())
 DIGIT_WORDS = ("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 _L = r"[^\W\d_]"
 _NAME = rf"{_L}+(?:['’\-]{_L}+)*"
-_EMAIL = re.compile(r"[\w.+%\-]+[@＠](?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24}(?![\w])")
+_EMAIL = re.compile(r"[\w.+%\-]+[@＠](?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,63}(?![\w])")
 _DOTS = r"(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s(?:dot)\s|\.)[A-Za-z][A-Za-z0-9\-]*)+"
 _EMAIL_BRACKET = re.compile(rf"[\w.+%\-]+\s?(?:\(at\)|\[at\]|\{{at\}})\s?[A-Za-z0-9\-]+{_DOTS}", re.I)
 _EMAIL_SPELT = re.compile(rf"[\w.+%\-]+\sat\s[A-Za-z0-9\-]+(?:\s(?:dot)\s[A-Za-z][A-Za-z0-9\-]*|\s?[(\[{{]dot[)\]}}]\s?[A-Za-z][A-Za-z0-9\-]*)+", re.I)
@@ -77,7 +79,37 @@ _INITIAL = rf"(?:{_L}\.\s?){{0,2}}"
 _FULL = re.compile(rf"({_NAME})\s({_INITIAL})({_NAME})")
 _TURNED = re.compile(rf"({_NAME}),\s({_NAME})(?:\s({_L})\.)?")
 _AFTER_TITLE = re.compile(rf"\.?\s({_INITIAL})({_CASED})(?:\s{_INITIAL}({_CASED}))?")
-_BEFORE = re.compile(rf"({_NAME})(,?\s)({_INITIAL})$")
+_LETTERS = re.compile(rf"{_L}*")
+_WORD = re.compile(_NAME)
+_BLANKS = re.compile(r"\s+")
+_TEL = re.compile(r"(?:\+|%2B)?[\d(](?:[\d().\- ]|%20)*\d", re.I)
+_MAIL = re.compile(r"[\w.+%\-]+(?:[@＠]|%40)(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,63}(?!\w)", re.I)
+
+
+def _local_start(text: str, p: int) -> int:
+    """Where the local part that ends before ``p`` begins."""
+    while p and (text[p - 1].isalnum() or text[p - 1] in "_.+%-"):
+        p -= 1
+    return p
+
+
+def _name_before(text: str, p: int) -> tuple[int, str, bool] | None:
+    """Start, name and whether a comma follows, of the name before ``p``, initials between left aside."""
+    for _ in range(2):
+        q = p - 1 if p and text[p - 1].isspace() else p
+        if q < 2 or text[q - 1] != "." or not text[q - 2].isalpha() or (q > 2 and text[q - 3].isalnum()):
+            break
+        p = q - 2
+    if not p or not text[p - 1].isspace():
+        return None
+    end = p - 1
+    comma = end > 0 and text[end - 1] == ","
+    end -= comma
+    start = end
+    while start and (text[start - 1].isalpha() or (text[start - 1] in "'’-" and start < end and start > 1 and text[start - 2].isalpha())):
+        start -= 1
+    return (start, text[start:end], comma) if start < end else None
+
 
 
 class Finder:
@@ -90,7 +122,7 @@ class Finder:
         words: dict[str, set[str]] = {}
         for d in "0123456789":
             words.setdefault(d, set()).add("digit")
-        for group, kind in ((AT_CUES, "at"), (STREET_CUES, "street"), (ID_CUES, "id"), (INTRODUCTIONS, "intro"), (self.given, "name"), (self.family, "name")):
+        for group, kind in ((AT_CUES, "at"), (SCHEMES[:3], "mail scheme"), (SCHEMES[3:], "number scheme"), (STREET_CUES, "street"), (ID_CUES, "id"), (INTRODUCTIONS, "intro"), (self.given, "name"), (self.family, "name")):
             for w in group:
                 words.setdefault(w, set()).add(kind)
         for t in TITLES:
@@ -108,39 +140,41 @@ class Finder:
 
     def _emails(self, text: str, at: list[int]) -> Iterator[tuple[int, int, str]]:
         for p in at:
-            low, high = max(0, p - 80), min(len(text), p + 120)
-            pattern = _EMAIL if text[p] in "@＠" else _EMAIL_BRACKET if text[p] in "([{" else _EMAIL_SPELT
-            for m in pattern.finditer(text[low:high]):
-                if low + m.start() <= p < low + m.end():
-                    local = m.group(0).lstrip(".-")
-                    yield low + m.end() - len(local), low + m.end(), "email"
+            pattern, end = (_EMAIL, p) if text[p] in "@＠" else (_EMAIL_BRACKET, p - (p > 0 and text[p - 1].isspace())) if text[p] in "([{" else (_EMAIL_SPELT, p - 1)
+            m = pattern.match(text, _local_start(text, end))
+            if m and m.end() > p:
+                local = m.group(0).lstrip(".-")
+                yield m.end() - len(local), m.end(), "email"
+
+    def _schemes(self, text: str, ends: list[tuple[int, str]]) -> Iterator[tuple[int, int, str]]:
+        """Addresses and numbers that a scheme announces."""
+        for end, kind in ends:
+            m = (_MAIL if kind == "email" else _TEL).match(text, end)
+            if m and (kind == "email" or 5 <= sum(c.isdigit() for c in m.group(0).replace("%2B", "").replace("%20", "")) <= 15):
+                yield end, m.end(), kind
 
     def _phones(self, text: str, digits: list[int]) -> Iterator[tuple[int, int, str]]:
         i = 0
         while i < len(digits):
             j = i
-            while j + 1 < len(digits) and digits[j + 1] - digits[j] <= 3:
+            while j + 1 < len(digits) and digits[j + 1] - digits[j] <= 4:  # a number has up to three marks between digits
                 j += 1
             if j - i + 1 >= 8:
-                low, high = max(0, digits[i] - 3), min(len(text), digits[j] + 4)
-                # one more character before, so that a phone isn't cut out of a longer token
-                start = max(0, low - 12)
-                near = text[start:high]
-                for m in _PHONE.finditer(near):
-                    n = sum(c.isdigit() for c in m.group(0))
-                    if 8 <= n <= 15 and not _NO_PHONE.search(near[: m.start()]):
-                        yield start + m.start(), start + m.end(), "phone"
+                # one character before the number's bracket or plus, and two after it, decide whether it stands alone
+                start = max(0, digits[i] - 3)
+                for m in _PHONE.finditer(text[start : digits[j] + 4]):
+                    n, at = sum(c.isdigit() for c in m.group(0)), start + m.start()
+                    if 8 <= n <= 15 and not _NO_PHONE.search(text[max(0, at - 12) : at]):  # the longest word and three marks
+                        yield at, start + m.end(), "phone"
             i = j + 1
 
     def _ids(self, text: str, cues: list[tuple[int, int]], digits: list[int]) -> Iterator[tuple[int, int, str]]:
         for p, end in cues:
             if (p and (text[p - 1].isalnum() or text[p - 1] == "_")) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum() and text[p:end].lower() in ("ssn", "dni", "nif", "nino")):
                 continue
-            tail = re.match(rf"{_L}*", text[end : end + 12])
-            after = end + (tail.end() if tail else 0)
-            m = _ID_AFTER.match(text[after : after + 70])
+            m = _ID_AFTER.match(text, _LETTERS.match(text, end).end())
             if m and sum(c.isdigit() for c in m.group(1)) >= 6:
-                yield after + m.start(1), after + m.end(1), "id_number"
+                yield m.start(1), m.end(1), "id_number"
         if len(digits) >= 6:
             for pattern in (_SSN, _NI, _DNI):
                 for m in pattern.finditer(text, max(0, digits[0] - 4), min(len(text), digits[-1] + 6)):
@@ -148,10 +182,14 @@ class Finder:
 
     def _addresses(self, text: str, cues: list[int]) -> Iterator[tuple[int, int, str]]:
         done = -1
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        starts = [a for a, _ in tokens]
         for p in cues:
             if p < done:
                 continue
-            low, high = max(0, p - 60), min(len(text), p + 90)
+            # no pattern has more than 9 blanks before its cue or 12 after it
+            k = bisect_right(starts, p) - 1
+            low, high = starts[max(0, k - 9)], tokens[min(len(tokens) - 1, k + 13)][1]
             near = text[low:high]
             for pattern in _ADDRESS:
                 for m in pattern.finditer(near):
@@ -186,39 +224,34 @@ class Finder:
 
     def _people(self, text: str, names: list[tuple[int, int]], intros: list[int], titles: list[int]) -> Iterator[tuple[int, int, str]]:
         word = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
-        starts = {p: False for p, end in names if not word(p - 1) and (not word(end) or True)}
+        starts = {p: False for p, _ in names if not word(p - 1)}
         for end in intros:
-            m = re.match(r"\s+", text[end : end + 3])
+            m = _BLANKS.match(text, end)
             if m:
-                starts[end + m.end()] = True
-        for p in list(starts):
-            near = text[p : p + 90]
-            introduced = starts[p]
-            m = _FULL.match(near)
+                starts[m.end()] = True
+        for p, introduced in starts.items():
+            m = _FULL.match(text, p)
             if m and self._is_pair(m.group(1), m.group(3), introduced):
-                yield p, p + m.end(), "person"
+                yield p, m.end(), "person"
                 continue
-            m = _TURNED.match(near)
+            m = _TURNED.match(text, p)
             if m and self._is_turned(m.group(1), m.group(2), introduced):
-                yield p, p + m.end(2), "person"
+                yield p, m.end(2), "person"
                 continue
             if introduced:
                 continue
             # a known name may be the second part
-            b = _BEFORE.search(text, max(0, p - 45), p)
-            n = re.match(_NAME, near)
-            if b and n:
-                ok = self._is_turned(b.group(1), n.group(0), False) if b.group(2).startswith(",") else self._is_pair(b.group(1), n.group(0), False)
-                if ok:
-                    yield b.start(1), p + n.end(), "person"
+            b, n = _name_before(text, p), _WORD.match(text, p)
+            if b and n and (self._is_turned(b[1], n.group(0), False) if b[2] else self._is_pair(b[1], n.group(0), False)):
+                yield b[0], n.end(), "person"
         for end in titles:
-            m = _AFTER_TITLE.match(text[end - 1 : end + 80] if text[end - 1] == " " else text[end : end + 80])
+            base = end - 1 if text[end - 1] == " " else end
+            m = _AFTER_TITLE.match(text, base)
             if m and not self._ordinary(m.group(2)):
-                base = end - 1 if text[end - 1] == " " else end
                 last = 3 if m.group(3) and not self._ordinary(m.group(3)) and (m.group(2).lower() in self.given or m.group(3).lower() in self.family) else 2
                 if m.group(2).lower() in self.given and last == 2:
                     continue
-                yield base + 1, base + m.end(last), "person"
+                yield base + 1, m.end(last), "person"
 
     def _is_turned(self, last: str, first: str, introduced: bool) -> bool:
         f, l = first.lower(), last.lower()
@@ -238,6 +271,7 @@ class Finder:
         at, digits, streets, spoken, intros, titles = [], [], [], [], [], []
         cues: list[tuple[int, int]] = []
         names: list[tuple[int, int]] = []
+        schemes: list[tuple[int, str]] = []
         for last, (size, kinds) in self.automaton.iter(low):
             p = last - size + 1
             for kind in kinds:
@@ -245,6 +279,9 @@ class Finder:
                     digits.append(p)
                 elif kind == "at":
                     at.append(p + (low[p] == " "))
+                elif kind.endswith("scheme"):
+                    if not p or not low[p - 1].isalnum():
+                        schemes.append((last + 1, "email" if kind[0] == "m" else "phone"))
                 elif kind == "street":
                     streets.append(p)
                 elif kind == "id":
@@ -259,6 +296,8 @@ class Finder:
                     else:
                         spoken.append(p)
         found: list[tuple[int, int, str]] = []
+        if schemes:
+            found += self._schemes(text, schemes)
         if at:
             found += self._emails(text, at)
         if streets and digits:
@@ -290,37 +329,61 @@ class Finder:
         return "".join([*out, text[at:]])
 
 
-def read_names(lexicon: DataFrame) -> list[tuple[str, str]]:
-    """The lexicon's names; refused above ``MAX_NAMES`` rows, as every worker gets them all."""
-    rows, fits = bounded(lexicon.where(F.col("name").isNotNull()).select("name", "name_kind").distinct(), MAX_NAMES)
-    if not fits:
-        raise ValueError(f"the name lexicon has more than {MAX_NAMES} rows")
-    return [(r["name"], r["name_kind"]) for r in rows]
+def with_names(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str, most: int = MAX_NAMES) -> tuple[DataFrame, list[tuple[str, str]] | None]:
+    """id, text and names of each record, and the whole lexicon if it has at most ``most`` names.
+
+    A larger lexicon isn't sent to the workers: its names are joined to the words of the records, and ``names`` then has
+    those that stand in the record, which is all that its parsers ask for.  Otherwise ``names`` is null.
+    """
+    known = lexicon.where(F.col("name").isNotNull()).select("name", "name_kind").distinct()
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    found, fits = bounded(known, most)
+    if fits:
+        return rows.withColumn("names", F.lit(None).cast("array<struct<name:string,name_kind:string>>")), [(r["name"], r["name_kind"]) for r in found]
+    words = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’\-][\p{L}]+)*"), F.lit(0)))).alias("word"))
+    held = words.join(known.withColumn("word", F.lower("name")), "word").groupBy("id").agg(F.collect_set(F.struct("name", "name_kind")).alias("names"))
+    return rows.join(held, "id", "left"), None
+
+
+def _each(names: list[tuple[str, str]] | None):
+    """The finder of a record: one for all, or one for its own names."""
+    whole = Finder(names or ())
+
+    def of(own) -> Finder:
+        return whole if own is None or not len(own) else Finder((x["name"], x["name_kind"]) for x in own)
+
+    return of
+
 
+def find_kinds(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str = "row_id", most: int = MAX_NAMES) -> DataFrame:
+    """id_col, kind: one row for each record and kind of personal information in its text; null texts give none.
 
-def find_kinds(df: DataFrame, names: list[tuple[str, str]], *, text: str, id_col: str = "row_id") -> DataFrame:
-    """id_col, kind: one row for each record and kind of personal information in its text; null texts give none."""
+    ``lexicon`` has name and name_kind (given or family), null names left out; with an empty one only introduced and
+    titled names are found.  ``id_col`` must be unique where the lexicon has more than ``most`` names.
+    """
+    rows, names = with_names(df, lexicon, text=text, id_col=id_col, most=most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(names)
+        finder = _each(names)
         for pdf in batches:
             ids, kinds = [], []
-            for i, t in zip(pdf["id"], pdf["text"]):
+            for i, t, own in zip(pdf["id"], pdf["text"], pdf["names"]):
                 if t:
-                    for kind in {s[2] for s in finder.spans(t)}:
+                    for kind in {s[2] for s in finder(own).spans(t)}:
                         ids.append(i)
                         kinds.append(kind)
             yield pd.DataFrame({id_col: ids, "kind": kinds}).astype({id_col: "int64", "kind": "object"})
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, f"`{id_col}` long, kind string")
+    return rows.mapInPandas(run, f"`{id_col}` long, kind string")
 
 
-def redact(df: DataFrame, names: list[tuple[str, str]], *, text: str, id_col: str = "row_id", out: str = "redacted") -> DataFrame:
-    """id_col, out: every record's text with placeholders; null stays null, empty stays empty."""
+def redact(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str = "row_id", out: str = "redacted", most: int = MAX_NAMES) -> DataFrame:
+    """id_col, out: every record's text with placeholders; null stays null, empty stays empty. ``lexicon`` as in ``find_kinds``."""
+    rows, names = with_names(df, lexicon, text=text, id_col=id_col, most=most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(names)
+        finder = _each(names)
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["id"], out: [finder.redact(t) for t in pdf["text"]]})
+            yield pd.DataFrame({id_col: pdf["id"], out: [finder(own).redact(t) for t, own in zip(pdf["text"], pdf["names"])]})
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInPandas(run, f"`{id_col}` long, `{out}` string")
+    return rows.mapInPandas(run, f"`{id_col}` long, `{out}` string")

@@ -11,7 +11,7 @@ from wordloom.llm.encoding import encode_texts
 from wordloom.llm.frequency import TermLedger, marked_terms
 from wordloom.llm.leakage import leaked
 from wordloom.llm.markup import clean_markup, find_markup
-from wordloom.llm.pii import find_kinds, read_names, redact
+from wordloom.llm.pii import find_kinds, redact
 from wordloom.llm.residue import find_residue, fit
 from wordloom.llm.sentences import split_sentences
 from wordloom.llm.spans import SharedSpans, thread_key
@@ -95,13 +95,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 @catalog.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read_names(table(spark, sf_dir, "name_lexicon"))
+    names = table(spark, sf_dir, "name_lexicon")
     return _union([find_kinds(texts(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "kind") for t, c in P3_FIELDS])
 
 
 @catalog.add("p3_redacted")
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read_names(table(spark, sf_dir, "name_lexicon"))
+    names = table(spark, sf_dir, "name_lexicon")
     return _union([redact(texts(spark, sf_dir, t), names, text=c).select(F.lit(t).alias("src"), "row_id", "redacted") for t, c in P3_FIELDS])
 
 

@@ -1,7 +1,9 @@
-"""Sentence units in any script, by a pushdown automaton over quotation marks, brackets and final marks.
+"""Sentence units in any script, by a pushdown automaton over quotation marks, brackets, list levels and final marks.
 
-Openers are pushed if their closer stands in the same paragraph; marks end a unit only on an empty stack.  Dots are
-weighed by the token before them (abbreviation lists, initials, numbers, file names) and by the word after them.
+Openers are pushed if their closer stands in the same paragraph; marks end a unit only on an empty stack.  A closer takes
+with it what was opened after its own opener, so crossed pairs don't stick.  Numbers that begin a unit are held against
+a second stack, of list levels: the next number of an open level, or a first one, is an item's mark.  Dots are weighed by the token
+before them (tries of abbreviations, initials, numbers, file names) and by the word after them.
 """
 
 from __future__ import annotations
@@ -22,25 +24,51 @@ OPEN_ABBREVIATIONS = frozenset("""mr mrs ms mx dr prof st rev hon gen col capt l
 # Abbreviations, times and company forms that may end a unit before a capital letter.
 CLOSE_ABBREVIATIONS = frozenset("""inc ltd co corp llc plc gmbh jr bros etc usw ff al a.m p.m am pm u.k u.s u.s.a e.u d.c ph.d b.a m.a и.т.д т.д т.п д п др пр руб тыс b.c a.d u.n""".split())
 # Words that often begin a sentence, for texts written in lower case.
-OPENERS = frozenset("""the i it its if my our in on at as after again then that this these he she they we you why what when how to by for from not so yesterday last long small fun people people strangely sadly honestly somehow somewhere out over once one all twice towards without during before between halfway within quillo ombra tessera an a another each most some""".split())
+OPENERS = frozenset("""the i it its if my our in on at as after again then that this these he she they we you why what when how to by for from not so yesterday last long small fun people strangely sadly honestly somehow somewhere out over once one all twice towards without during before between halfway within an a another each most some""".split())
 # Abbreviations that are also words and count only before a number.
 NUMBER_ABBREVIATIONS = frozenset("no art fig figs ch eq abb n nos sec vol".split())
 MONTHS_DE = frozenset("januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split())
 
+
+
+class Trie:
+    """Words by their letters from the last to the first, so that a lookup walks back from the mark that ends them."""
+
+    def __init__(self, words: frozenset[str]):
+        self.root: dict = {}
+        for w in words:
+            node = self.root
+            for c in reversed(w):
+                node = node.setdefault(c, {})
+            node[""] = w
+
+    def __contains__(self, word: str) -> bool:
+        node = self.root
+        for c in reversed(word):
+            node = node.get(c)
+            if node is None:
+                return False
+        return "" in node
+
+
+OPEN, CLOSE, BEFORE_NUMBER = Trie(OPEN_ABBREVIATIONS), Trie(CLOSE_ABBREVIATIONS), Trie(NUMBER_ABBREVIATIONS)
+
 _EVENT = re.compile(r"\n[^\S\n]*(?=\n)|[.!?…。！？।॥؟۔｡．]+|[()\[\]{}“”„«»‹›「」『』《》〈〉（）【】‘’‚\"']|(?<=[ก-๎]) +(?=[ก-๎])")
 _CLOSERS = frozenset(")]}”’»›」』》〉）】")
 _MARKS = frozenset(".!?…。！？।॥؟۔｡．")
-_TOKEN = re.compile(r"[^\s()\[\]{}“”„«»‹›\"‘,;:¿¡]*$")
+_BOUND = frozenset("()[]{}“”„«»‹›\"‘,;:¿¡")
 _NEXT = re.compile(r"\s*([^\W_]+)?")
+_SPACE = re.compile(r"\s*")
 _URL = re.compile(r"://|www\.|[\w\-]\.[a-z]{2,}(?:/|$)|/", re.I)
 _BREAK = re.compile(r"\n[^\S\n]*\n")
+_BREAK_NEXT = re.compile(r"[ \t\r]*\n[^\S\n]*\n")
 
 
 def _lower_style(text: str) -> bool:
     """Whether every sentence of the text begins in lower case."""
     lower = upper = 0
     for before, start in re.findall(r"([^\W\d_]{3,})[.?][\"”»]*\s+([^\W\d_]+)", text):
-        if before.lower() in OPEN_ABBREVIATIONS or before.lower() in CLOSE_ABBREVIATIONS or start == "I":
+        if before.lower() in OPEN or before.lower() in CLOSE or start == "I":
             continue
         if start[0].islower():
             lower += 1
@@ -59,7 +87,9 @@ def unit_ends(text: str | None) -> list[int]:
     ends: list[int] = []
     begin, n = 0, len(text)  # begin: where the open unit may start
     stack: list[str] = []
+    levels: list[int] = []  # the last number of each open list
     limit, skip = -1, -1
+    token_start, token_seen = 0, 0  # the token that holds token_seen - 1 begins at token_start
 
     def close(at: int) -> None:
         nonlocal begin
@@ -69,6 +99,30 @@ def unit_ends(text: str | None) -> list[int]:
             ends.append(at)
             begin = at
 
+    def token_at(s: int) -> int:
+        """Where the token that ends before ``s`` begins; no letter is walked over twice."""
+        nonlocal token_start, token_seen
+        i = s
+        while i > token_seen and not (text[i - 1].isspace() or text[i - 1] in _BOUND):
+            i -= 1
+        token_start, token_seen = (token_start if i == token_seen else i), s
+        return token_start
+
+    def is_item(start: int, s: int) -> bool:
+        """Whether the number text[start:s] begins the open unit and counts on in a list, or begins one."""
+        if not s - start <= 3 or not text[start:s].isdecimal() or text[begin:start].strip():
+            return False
+        n = int(text[start:s])
+        while levels and levels[-1] + 1 != n and n != 1 and n - 1 in levels:
+            levels.pop()
+        if levels and levels[-1] + 1 == n:
+            levels[-1] = n
+        elif n == 1:
+            levels.append(n)
+        else:
+            return False
+        return True
+
     def paragraph_end(at: int) -> int:
         nonlocal limit
         if at >= limit:
@@ -88,7 +142,8 @@ def unit_ends(text: str | None) -> list[int]:
             if not stack:
                 close(s)
         elif c in _MARKS:
-            if not stack and _ends(text, s, t, lower):
+            start = token_at(s)
+            if not stack and not (text[s:t] == "." and t < n and text[t].isspace() and is_item(start, s)) and _ends(text, s, t, lower, start):
                 while t < n and (text[t] in _CLOSERS or (text[t] in "\"'" and (t + 1 == n or not text[t + 1].isalnum()))):
                     t += 1
                 skip = t
@@ -105,8 +160,13 @@ def unit_ends(text: str | None) -> list[int]:
                     m = text.find(c, m + 1, paragraph_end(t))
                 if m > 0:
                     stack.append(c)
+        elif c == "’" and s and t < n and text[s - 1].isalnum() and text[t].isalnum():
+            continue  # an apostrophe
         elif stack and c in stack[-1]:
             stack.pop()
+        elif c in _CLOSERS and any(c in x for x in stack):
+            while c not in stack.pop():
+                pass
         elif c in PAIRS:
             if c == "‘" and s and text[s - 1].isalnum():
                 continue
@@ -117,10 +177,10 @@ def unit_ends(text: str | None) -> list[int]:
     return ends
 
 
-def _ends(text: str, s: int, t: int, lower: bool) -> bool:
-    """Whether the marks text[s:t], outside quotations and brackets, end a unit."""
+def _ends(text: str, s: int, t: int, lower: bool, start: int) -> bool:
+    """Whether the marks text[s:t], outside quotations and brackets and after the token text[start:s], end a unit."""
     marks, n = text[s:t], len(text)
-    token = _TOKEN.search(text, max(0, s - 60), s).group(0)
+    token = text[start:s]
     attached = t < n and (text[t].isalnum() or text[t] in "/_@")
     dots = set(marks) <= set(".…．")
     if not dots:
@@ -129,26 +189,26 @@ def _ends(text: str, s: int, t: int, lower: bool) -> bool:
         return True
     m = _NEXT.match(text, t)
     word = m.group(1) or ""
-    rest = text[m.start() : t + 40].lstrip()
+    after = _SPACE.match(text, t).end()
     gap = text[t : m.start(1)] if word else text[t : t + 3]
-    if not rest or _BREAK.match(text[t : t + 8].replace("\r", "").lstrip(" \t")):
+    if after == n or _BREAK_NEXT.match(text, t):
         return True
-    if not attached and rest[0] in _MARKS:
+    if not attached and text[after] in _MARKS:
         return False
     goes_on = word[:1].islower()
     if len(marks) > 1 or marks == "…":
         if lower and goes_on:
-            filler = re.search(r",\s*\w+$", text[max(0, s - 20) : s])
+            filler = token.isalnum() and text[begin_of_blanks(text, start) - 1 : begin_of_blanks(text, start)] == ","
             return not attached and not filler
         return not goes_on
     if attached:
         if text[t].isdigit() or not (text[t].isupper() or not text[t].isascii() and not goes_on):
             return False
-        return len(token) > 1 and token.isalpha() and token.lower() not in OPEN_ABBREVIATIONS and not token.isupper()
+        return len(token) > 1 and token.isalpha() and token.lower() not in OPEN and not token.isupper()
     bare = token.strip(".").lower()
     if bare.isdigit():
-        line = text[text.rfind("\n", 0, s) + 1 : s].strip()
-        if line == token and len(token) <= 3 and "\n" not in gap:
+        line = begin_of_blanks(text, start)
+        if (line == 0 or text[line - 1] == "\n" or "\n" in text[line:start]) and len(token) <= 3 and "\n" not in gap:
             return False
         if word.lower() in MONTHS_DE and len(bare) <= 2:
             return False
@@ -157,22 +217,29 @@ def _ends(text: str, s: int, t: int, lower: bool) -> bool:
     if len(bare) == 1 and bare.isalpha():
         previous = re.search(r"(\w)\.\s?$", text[max(0, s - 4) : s - 1])
         both = f"{previous.group(1).lower()}.{bare}" if previous else bare
-        if both in CLOSE_ABBREVIATIONS and "." in both:
+        if both in CLOSE and "." in both:
             return bool(word) and not goes_on and not word[0].isdigit()
         return False
-    if bare in CLOSE_ABBREVIATIONS:
+    if bare in CLOSE:
         if lower:
             return word in OPENERS
         return not goes_on
-    if bare in NUMBER_ABBREVIATIONS and not word[:1].isdigit():
+    if bare in BEFORE_NUMBER and not word[:1].isdigit():
         return lower or not goes_on
-    if bare in OPEN_ABBREVIATIONS or last in OPEN_ABBREVIATIONS and "." in bare and last != bare:
+    if bare in OPEN or last in OPEN and "." in bare and last != bare:
         return False
     if re.fullmatch(r"(?:\w\.)+\w", bare) and not any(ch.isdigit() for ch in bare):
         return not goes_on and not lower
     return lower or not goes_on
 
 
+def begin_of_blanks(text: str, at: int) -> int:
+    """Where the white space before ``at`` begins."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def split_sentences(df: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, unit, end_char, sentence: one row for each unit, numbered from 0; null, empty and blank texts have none."""
 
