@@ -152,7 +152,7 @@ def redelivered(
     comment_id: str = "comment_id",
     row_id: str = "row_id",
     arrived: str = "ingested_at",
-    batches: int = 10,
+    batches: int = 4,
     index: DeliveryIndex | None = None,
 ) -> DataFrame:
     """``row_id`` of every superfluous copy of a message.
@@ -174,7 +174,7 @@ def redelivered(
     stats = rows.agg(F.approx_count_distinct("key").alias("n"), F.percentile_approx("at", shares or [0.5], 1000).alias("q")).head()
     cuts = sorted(set(stats["q"] or [])) if shares else []
     if index is None:
-        index = DeliveryIndex(spark, prefixes=DeliveryIndex.prefixes_for(int(stats["n"] or 0)))
+        index = DeliveryIndex(spark, prefixes=DeliveryIndex.prefixes_for(int(stats["n"] or 0)), merge_after=3)
     delivery = sum((F.col("at") > c).cast("int") for c in cuts) if cuts else F.lit(0)
     path = scratch_path(spark, "deliveries")
     one = rows.withColumn("delivery", delivery).groupBy("key", "delivery").agg(F.min(F.struct("at", "row")).alias("o")).select("delivery", "key", F.col("o.row").alias("row"))
