@@ -28,6 +28,7 @@ def test_ledger_equals_recount_after_changes(spark):
         keys = rnd.sample(sorted(rows), 30)
         old, new = [rows[k] for k in keys], [text() for _ in keys]
         rows.update(zip(keys, new))
+        ledger = frequency.TermLedger.open(spark, ledger.path)  # another object, as in another session
         ledger.apply("body", added=mk(new), removed=mk(old), value="body", tokenized=True)
     occ, docs = Counter(), Counter()
     for t in rows.values():
@@ -38,6 +39,17 @@ def test_ledger_equals_recount_after_changes(spark):
     assert ledger.totals().head()["total"] == sum(v is not None for v in rows.values())
 
 
+def test_small_changes_leave_the_large_counts_alone(spark):
+    ledger = frequency.TermLedger(spark, merge_after=3, tier=4)
+    big = spark.createDataFrame([(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}",) for i in range(400)], "v string")
+    ledger.apply("s", added=big, value="v", tokenized=False)
+    base = ledger.parts[0]["name"]
+    for _ in range(4):
+        ledger.apply("s", added=big.limit(3), removed=big.limit(1), value="v", tokenized=False)
+    assert ledger.parts[0]["name"] == base and len(ledger.parts) < 4
+    assert ledger.counts().agg({"occurrences": "sum"}).head()[0] == 400 + 4 * 2
+
+
 def test_marks_and_empty_ledger(spark):
     assert frequency.marked_terms(frequency.TermLedger(spark), {}).count() == 0
     ledger = frequency.TermLedger(spark)

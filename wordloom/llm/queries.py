@@ -15,7 +15,9 @@ from wordloom.llm.pii import find_kinds, redact
 from wordloom.llm.residue import find_residue, fit
 from wordloom.llm.sentences import split_sentences
 from wordloom.llm.spans import SharedSpans, thread_key
+from wordloom.plans import general
 from wordloom.plans.catalog import Catalog, table, texts
+from wordloom.storage import materialize
 
 catalog = Catalog()
 #: Folder of the public vocabularies.
@@ -23,10 +25,14 @@ TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def _p4_ledger(spark: SparkSession, sf_dir: str) -> TermLedger:
-    rows = texts(spark, sf_dir, "lcr_pass1b_canonical").select("body", "subreddit")
+    """The table in two changes: what had arrived by the middle batch, and the rest."""
+    rows = texts(spark, sf_dir, "lcr_pass1b_canonical").select("body", "subreddit", "batch_id")
+    middle = table(spark, sf_dir, "lcr_pass1b_canonical").agg(F.percentile_approx("batch_id", 0.5, 100)).head()[0]
+    early = F.coalesce(F.col("batch_id") <= F.lit(middle), F.lit(False))
     ledger = TermLedger(spark)
-    ledger.apply("body", added=rows, value="body", tokenized=True)
-    ledger.apply("subreddit", added=rows, value="subreddit", tokenized=False)
+    for part in (rows.where(early), rows.where(~early)):
+        ledger.apply("body", added=part, value="body", tokenized=True)
+        ledger.apply("subreddit", added=part, value="subreddit", tokenized=False)
     return ledger
 
 
@@ -61,6 +67,28 @@ def p4_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_terms(_p4_ledger(spark, sf_dir), _P4_RULES)
 
 
+_P4_UNIQUE = f"""
+    WITH superfluous AS ({general.catalog.sql["p2_found"]}),
+    kept AS (SELECT row_id, body, lower(trim(subreddit)) AS subreddit FROM lcr_pass1b_canonical WHERE row_id NOT IN (SELECT row_id FROM superfluous)),
+"""
+
+
+@catalog.add("p4_unique", _P4_UNIQUE + _P4_SQL.replace("lcr_pass1b_canonical", "kept").replace("WITH words", "words", 1) + "SELECT field, term, occurrences, records, mark FROM marked")
+def p4_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts after superfluous deliveries were deleted and other spellings of a subreddit changed, as two more changes."""
+    rows = texts(spark, sf_dir, "lcr_pass1b_canonical").select("row_id", "body", "subreddit")
+    ledger = _p4_ledger(spark, sf_dir)
+    gone = general.catalog.queries["p2_found"](spark, sf_dir)
+    dropped = materialize(rows.join(gone, "row_id"), "dropped")
+    ledger.apply("body", removed=dropped, value="body", tokenized=True)
+    ledger.apply("subreddit", removed=dropped, value="subreddit", tokenized=False)
+    plain = F.lower(F.trim("subreddit"))
+    changed = rows.where(F.col("subreddit") != plain).join(dropped.select("row_id"), "row_id", "left_anti").select("subreddit", plain.alias("plain"))
+    ledger.apply("subreddit", removed=changed, value="subreddit", tokenized=False)
+    ledger.apply("subreddit", added=changed, value="plain", tokenized=False)
+    return marked_terms(ledger, _P4_RULES)
+
+
 def _p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         table(spark, sf_dir, name).select(F.col("row_id").cast("long").alias("row"), thread_key(F.col("post_id"), F.col("row_id")).alias("thread"), F.col(field).alias("text"))
