@@ -230,14 +230,43 @@ def test_encoding_equals_the_public_library():
         t, new = (x.encode("utf-8", "ignore").decode() for x in (t, new))
         ids = e.encode(t)
         assert ids == ref.encode_ordinary(t)
-        a = min(a, len(t))
-        text, edited = e.edit(t, ids, a, min(a + n, len(t)), new)
-        assert edited == ref.encode_ordinary(text)
+        kept = encoding.EncodedText(e, t)
+        for start, size, put in ((a, n, new), (a + 3, n // 2, new[::-1]), (0, 1, "x")):
+            start = min(start, len(kept.text))
+            kept.edit(start, min(start + size, len(kept.text)), put)
+            assert kept.ids == ref.encode_ordinary(kept.text)
+        kept.append(new + t)
+        assert kept.ids == ref.encode_ordinary(kept.text)
 
     check()
-    last, ids = e.extend([], b"tokeni")
-    assert e.extend(last, b"zation", b"tokeni")[1] == e.extend([], b"tokenization")[1]
-    assert e.encode(None) == e.encode("") == []
+    assert e.encode(None) == e.encode("") == encoding.EncodedText(e, None).ids == []
+
+
+@needs_vocabulary
+def test_an_edit_encodes_only_what_is_near():
+    e = encoding.PrefixEncoder(VOCABULARY)
+    kept = encoding.EncodedText(e, "some words here, " * 30_000)
+    kept.edit(200_000, 200_003, "tokenization")
+    assert 0 < kept.encoded <= 10 and kept.ids == e.encode(kept.text)
+    kept.append(" more")
+    assert kept.encoded <= 10 and kept.ids == e.encode(kept.text)
+    long = encoding.EncodedText(e, "abcdefghij" * 3_000)  # one piece
+    calls = []
+    fits = e.fits
+    e.fits = lambda a, b: calls.append(1) or fits(a, b)
+    long.edit(15_000, 15_001, "Q")
+    assert len(calls) < 15_000 and long.ids == e.encode(long.text)
+
+
+def test_a_vocabulary_without_a_byte_is_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "v"
+    path.write_bytes(b"".join(base64.b64encode(bytes([c])) + b" %d\n" % i for i, c in enumerate(b"abc")))
+    e = encoding.PrefixEncoder(str(path))
+    assert e.encode("abca") == [0, 1, 2, 0]
+    with pytest.raises(ValueError):
+        e.encode("abd")
 
 
 @needs_vocabulary
