@@ -287,12 +287,21 @@ def test_leaks_against_brute_force(spark):
     grams = lambda t: {tuple(w[k : k + n]) for w in [leakage.words_of(t or "")] for k in range(len(w) - n + 1)}
     want = {(d, i) for d, t in docs for i, x in items if grams(t) & grams(x)}
     mk = lambda r, c: spark.createDataFrame(r, f"{c} long, text string")
-    for size in (400_000, 30):
-        out = leakage.leaked(mk(docs, "doc_id"), mk(items, "item_id"), n=n, shard_words=size).collect()
+    for size, block in ((400_000, 50_000), (30, 5), (6, 50_000)):  # the last cuts documents
+        out = leakage.leaked(mk(docs, "doc_id"), mk(items, "item_id"), n=n, shard_words=size, item_block=block).collect()
         assert {(r["doc_id"], r["item_id"]) for r in out} == want
     for r in out:
         assert r["to_word"] - r["from_word"] >= n
     assert leakage.leaked(mk([], "doc_id"), mk(items, "item_id")).count() == 0
+    assert leakage.leaked(mk(docs, "doc_id"), mk([], "item_id")).count() == 0
+
+
+def test_an_index_of_shards_is_opened_for_another_benchmark(spark, tmp_path):
+    mk = lambda r, c: spark.createDataFrame(r, f"{c} long, text string")
+    docs = mk([(1, "one two three four five six"), (2, "six five four three two one"), (3, None)], "doc_id")
+    path = leakage.ShardIndex.build(docs, f"file://{tmp_path}/shards").path
+    for items, want in (([(7, "two three four")], {(1, 7, 1, 4)}), ([(8, "Five, four, THREE two")], {(2, 8, 1, 5)}), ([(9, "absent words here")], set())):
+        assert {tuple(r) for r in leakage.ShardIndex.open(spark, path).search(mk(items, "item_id"), n=3).collect()} == want
 
 
 # sentences

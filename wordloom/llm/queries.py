@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.encoding import encode_texts
 from wordloom.llm.frequency import TermLedger, marked_terms
-from wordloom.llm.leakage import leaked
+from wordloom.llm.leakage import ShardIndex, leaked
 from wordloom.llm.markup import clean_markup, find_markup
 from wordloom.llm.pii import find_kinds, redact
 from wordloom.llm.residue import find_residue, fit
@@ -138,11 +138,23 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(texts(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-@catalog.add("p9_found")
+_GRAMS = "SELECT {k}, array_to_string(w[i + 1:i + 12], ' ') AS g FROM (SELECT {k}, w, unnest(range(len(w) - 11)) AS i FROM (SELECT {k}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM {t} WHERE text IS NOT NULL) WHERE len(w) >= 12)"
+
+
+@catalog.add("p9_found", f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(k='doc_id', t='documents')}) JOIN ({_GRAMS.format(k='item_id', t='eval_items')}) USING (g)")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+@catalog.add("p9_second_benchmark")
+def p9_second_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index of the documents, opened again for the answers after the texts: spans of eight words."""
+    path = ShardIndex.build(texts(spark, sf_dir, "documents")).path
+    items = table(spark, sf_dir, "eval_items")
+    parts = [ShardIndex.open(spark, path).search(items.select("item_id", F.col(c).alias("text")), n=8).select(F.lit(c).alias("field"), "doc", "item_id", "from_word", "to_word") for c in ("text", "answer")]
+    return parts[0].unionByName(parts[1]).withColumnRenamed("doc", "doc_id")
+
+
 @catalog.add("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(texts(spark, sf_dir, "documents")).select("doc_id", "end_char")
