@@ -68,7 +68,7 @@ def brute_pairs(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 0])
+@pytest.mark.parametrize("hot", [1_000_000, 0])
 def test_pairs_and_extents_against_brute_force(spark, hot):
     rnd, k = random.Random(5), 12
     word = lambda n: "".join(rnd.choice("abcdé😀 ") for _ in range(n))
@@ -76,7 +76,15 @@ def test_pairs_and_extents_against_brute_force(spark, hot):
     rows = [(i, rnd.randrange(25), word(rnd.randrange(0, 40)) + rnd.choice(shared + [""]) + word(rnd.randrange(0, 20))) for i in range(60)]
     rows += [(100, 1, None), (101, 1, ""), (102, 2, "aaaa" * 20), (103, 3, "aaaa" * 20), (104, 3, "a" * 11)]
     s = spans.SharedSpans(spark.createDataFrame(rows, "row long, thread long, text string"), k=k, hot=hot)
-    assert {tuple(r) for r in s.pairs().collect()} == brute_pairs(rows, k)
+    pairs = brute_pairs(rows, k)
+    assert {tuple(r) for r in s.pairs().collect()} == pairs
+    members: dict[int, set] = {}
+    for r in s.members().collect():
+        members.setdefault(r["class"], set()).add((r["row"], r["thread"]))
+    assert {(a, b) for m in members.values() for a, ta in m for b, tb in m if a < b and ta != tb} == pairs and len({frozenset(m) for m in members.values()}) == len(members)
+    for r in s.classes().collect():
+        m = members[r["class"]]
+        assert (r["records"], r["threads"], r["links"]) == (len(m), len({t for _, t in m}), sum(a < b and ta != tb for a, ta in m for b, tb in m))
     got = {r["row"]: r["shared_chars"] for r in s.extents().collect()}
     for row, thread, text in rows:
         others = {x[p : p + k] for r, t, x in rows if t != thread and x for p in range(len(x) - k + 1)}

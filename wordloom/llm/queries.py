@@ -97,11 +97,34 @@ def _p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@catalog.add("p5_found")
+_P5_SQL = """
+    WITH t AS (
+      SELECT row_id, post_id, body AS x FROM lcr_pass1b_canonical UNION ALL SELECT row_id, post_id, context FROM memory_lcr_candidates),
+    k AS (
+      SELECT row_id, x, coalesce('p:' || nullif(regexp_replace(lower(trim(post_id)), '^t3_', ''), ''), 'r:' || row_id) AS thread FROM t WHERE length(x) >= 240),
+    w AS MATERIALIZED (SELECT DISTINCT row_id, thread, md5(substring(x, i, 240)) AS h FROM (SELECT row_id, thread, x, unnest(range(1, length(x) - 238)) AS i FROM k)),
+    s AS (SELECT h FROM w GROUP BY h HAVING min(thread) <> max(thread)),
+    m AS MATERIALIZED (SELECT row_id, thread, h FROM w SEMI JOIN s USING (h))
+    SELECT DISTINCT a.row_id AS row_a, b.row_id AS row_b FROM m a JOIN m b ON a.h = b.h AND a.row_id < b.row_id AND a.thread <> b.thread
+"""
+
+
+@catalog.add("p5_found", _P5_SQL)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SharedSpans(_p5_records(spark, sf_dir)).pairs()
 
 
+@catalog.add("p5_classes")
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each span that is shared: how many records and threads have it, and how many pairs it links."""
+    return SharedSpans(_p5_records(spark, sf_dir)).classes()
+
+
+@catalog.add("p5_members")
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedSpans(_p5_records(spark, sf_dir)).members().select("class", F.col("row").alias("row_id"))
+
+
 @catalog.add("p5_extent")
 def p5_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _p5_records(spark, sf_dir)

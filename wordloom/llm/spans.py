@@ -1,9 +1,10 @@
 """Spans of at least ``k`` characters that stand word for word in records of different threads.
 
 Consecutive windows of ``k`` characters that share a minimiser travel as one packed string to the bucket of that
-minimiser.  Only minimisers met in two threads are packed at all; equal strings of a minimiser are one class.  In
-a bucket the windows of the classes are sorted and counted exactly.  A minimiser with very many classes isn't given
-to one task: its windows are grouped by Spark instead.
+minimiser.  Only minimisers met in two threads are packed at all; equal strings of a minimiser are packed once.  In
+a bucket the windows are sorted by hash and compared character by character.  Windows that the same strings hold make a class;
+the classes and their members are the result, and pairs and extents are derived from them.  Buckets are sized by characters,
+and a minimiser of very many isn't given to one task: its windows are grouped by Spark instead.
 """
 
 from __future__ import annotations
@@ -103,28 +104,68 @@ def _scan(k: int, m: int):
     return run
 
 
+def _window_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each window of ``k`` code points."""
+    up, down = _powers(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
+        return (total[k:] - total[:-k]) * down[: len(codes) - k + 1]
+
+
+def _equal_windows(pieces: list[str], k: int) -> Iterator[list[tuple[int, int]]]:
+    """Windows that stand in two or more places of ``pieces``, each as its places (piece, first character)."""
+    text = "".join(pieces)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(p) for p in pieces])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    h = _window_hashes(codes, k)
+    whose = np.repeat(np.arange(len(pieces)), lengths)[: len(h)]
+    at = np.arange(len(h))
+    at = at[at - starts[whose] + k <= lengths[whose]]  # windows inside one piece
+    order = at[np.argsort(h[at], kind="stable")]
+    ordered = h[order]
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        if hi - lo < 2:
+            continue
+        same: dict[str, list[int]] = {}
+        for p in order[lo:hi]:
+            same.setdefault(text[p : p + k], []).append(int(p))
+        for places in same.values():
+            if len(places) > 1:
+                yield [(int(whose[p]), int(p - starts[whose[p]])) for p in places]
+
+
 def _count_windows(k: int):
-    """Sort the windows of a bucket's classes and give, for each class, the runs of windows it has in common with others."""
+    """Give, for each string of a bucket, the runs of its windows that strings of other threads, or it in two threads, hold as well."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in ("mini", "no", "pk", "a", "b")}
         for mini, group in pdf.groupby("mini", sort=False):
             pieces, keys = group["piece"].tolist(), group["pk"].tolist()
             lo, hi = group["tmin"].to_numpy(), group["tmax"].to_numpy()
-            holders: dict[str, list[tuple[int, int]]] = {}
-            for i, piece in enumerate(pieces):
-                for at in range(len(piece) - k + 1):
-                    holders.setdefault(piece[at : at + k], []).append((i, at))
             sets: dict[tuple[int, ...], int] = {}
             spans: dict[tuple[int, int], list[int]] = {}
-            for held in holders.values():
+            shared: dict[int, set[int]] = {}  # of each string, its windows that others hold
+
+            def keep(held: list[tuple[int, int]]) -> None:
                 members = tuple(sorted({i for i, _ in held}))
-                at = list(members)
-                if lo[at].min() == hi[at].max():
-                    continue  # one thread only
+                if lo[list(members)].min() == hi[list(members)].max():
+                    return  # one thread only
                 no = sets.setdefault(members, len(sets))
                 for i, a in held:
                     spans.setdefault((no, i), []).append(a)
+
+            for held in _equal_windows(pieces, k):
+                for i, a in held:
+                    shared.setdefault(i, set()).add(a)
+                keep(held)
+            for i, piece in enumerate(pieces):
+                if lo[i] != hi[i]:  # one string in two threads: what no other string holds
+                    own = shared.get(i, ())
+                    for a in range(len(piece) - k + 1):
+                        if a not in own:
+                            keep([(i, a)])
             for (no, i), at in spans.items():
                 at.sort()
                 begin = last = at[0]
@@ -151,46 +192,71 @@ class SharedSpans:
     """Spans that records of different threads share; ``records`` has row (unique long), thread (long) and text.
 
     Null texts and texts shorter than ``k`` share nothing.  Repeated rows of one thread aren't paired.  Texts may be
-    of any length and are read whole.  An empty table gives empty results.  ``m`` is the minimiser's length, and
-    ``hot`` the number of different strings of one minimiser beyond which Spark groups its windows.
+    of any length and are read whole.  An empty table gives empty results.  ``m`` is the minimiser's length, ``bucket``
+    the characters of a bucket, and ``hot`` the characters of one minimiser's strings beyond which Spark groups its windows.
     """
 
-    def __init__(self, records: DataFrame, *, k: int = 240, m: int | None = None, hot: int = 4000, bucket: int = 4000):
+    def __init__(self, records: DataFrame, *, k: int = 240, m: int | None = None, hot: int = 1_000_000, bucket: int = 500_000):
         self.k, self.m = k, m or k // 2
         texts = records.select("row", "thread", "text").where(F.length("text") >= k)
-        found = texts.mapInPandas(_scan(self.k, self.m), "mini long, row long, thread long, start long, length long")
+        # written once, as it is read twice: numbers only
+        found = materialize(texts.mapInPandas(_scan(self.k, self.m), "mini long, row long, thread long, start long, length long"), "super-window-places")
         common = found.groupBy("mini").agg(F.min("thread").alias("lo"), F.max("thread").alias("hi")).where("lo != hi").select("mini")
         flagged = found.join(common, "mini", "left_semi")
         pieces = flagged.join(texts.select("row", "text"), "row").select("mini", "row", "thread", "start", F.substring("text", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("piece"))
-        # written once: both the bucket's classes and their members read it
+        # written once: both the bucket's strings and their members read it
         self.pieces = materialize(pieces.withColumn("pk", F.md5(F.col("piece").cast("binary"))), "super-windows")
-        classes = self.pieces.groupBy("mini", "pk").agg(F.first("piece").alias("piece"), F.min("thread").alias("tmin"), F.max("thread").alias("tmax"))
-        sizes = self.pieces.groupBy("mini").agg(F.approx_count_distinct("pk").alias("n"))
+        strings = self.pieces.groupBy("mini", "pk").agg(F.first("piece").alias("piece"), F.min("thread").alias("tmin"), F.max("thread").alias("tmax"))
+        sizes = strings.groupBy("mini").agg(F.sum(F.length("piece")).alias("n"))
         hot_minis = sizes.where(F.col("n") > hot).select("mini")
         stats = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).head()
-        buckets = max(1, -(-int(stats["n"] or 0) // bucket))
-        cold = classes.join(hot_minis, "mini", "left_anti") if (stats["most"] or 0) > hot else classes
-        runs = cold.groupBy(F.pmod("mini", F.lit(buckets)).alias("bucket")).applyInPandas(_count_windows(k), "mini long, no long, pk string, a long, b long")
+        any_hot = (stats["most"] or 0) > hot
+        # at least one bucket a core; the number is given, so that small ones aren't put together again
+        buckets = max(records.sparkSession.sparkContext.defaultParallelism, -(-int(stats["n"] or 0) // bucket))
+        cold = strings.join(hot_minis, "mini", "left_anti") if any_hot else strings
+        runs = cold.withColumn("bucket", F.pmod("mini", F.lit(buckets))).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_count_windows(k), "mini long, no long, pk string, a long, b long")
         self.runs = materialize(runs, "shared-runs")
-        self._hot = self._hot_windows(classes.join(hot_minis, "mini", "left_semi")) if (stats["most"] or 0) > hot else None
+        self._hot = self._hot_windows(strings.join(hot_minis, "mini", "left_semi")) if any_hot else None
+        self._members: DataFrame | None = None
 
-    def _hot_windows(self, classes: DataFrame) -> DataFrame:
-        """mini, window, pk, at: windows of hot minimisers that stand in two threads; grouped by the window's own text."""
+    def _hot_windows(self, strings: DataFrame) -> DataFrame:
+        """mini, window, pk, at: windows of hot minimisers that stand in two threads; grouped by a digest of the window's text."""
         k = self.k
         at = F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("at")
-        windows = classes.select("mini", "pk", "tmin", "tmax", "piece", at).withColumn("window", F.expr(f"substring(piece, at + 1, {k})")).drop("piece")
+        windows = strings.select("mini", "pk", "tmin", "tmax", "piece", at).withColumn("window", F.md5(F.expr(f"substring(piece, at + 1, {k})").cast("binary"))).drop("piece")
         shared = windows.groupBy("mini", "window").agg(F.min("tmin").alias("lo"), F.max("tmax").alias("hi")).where("lo != hi").select("mini", "window")
-        return materialize(windows.join(shared, ["mini", "window"], "left_semi").select("mini", F.md5(F.col("window").cast("binary")).alias("window"), "pk", "at"), "hot-windows")
+        return materialize(windows.join(shared, ["mini", "window"], "left_semi").select("mini", "window", "pk", "at"), "hot-windows")
+
+    def members(self) -> DataFrame:
+        """class, row, thread: the records that hold the windows of a class; classes of equal members are one.
+
+        Which records a class has is compared by their number, least, largest and the sum of two hashes of them, so no class is
+        gathered in one place.
+        """
+        if self._members is None:
+            places = self.pieces.select("mini", "pk", "row", "thread").distinct()
+            held = self.runs.select("mini", F.col("no").cast("string").alias("of"), "pk").distinct()
+            if self._hot is not None:
+                held = held.unionByName(self._hot.select("mini", F.col("window").alias("of"), "pk").distinct())
+            of = held.join(places, ["mini", "pk"]).select(F.xxhash64("mini", "of").alias("class"), "row", "thread").distinct()
+            of = materialize(of, "class-members")
+            hashes = [F.sum(F.pmod(F.xxhash64("row", F.lit(i)), F.lit(1 << 40))).alias(f"h{i}") for i in (1, 2)]
+            prints = of.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), *hashes)
+            first = prints.groupBy("n", "lo", "hi", "h1", "h2").agg(F.min("class").alias("class")).select("class")
+            self._members = materialize(of.join(first, "class", "left_semi"), "distinct-class-members")
+        return self._members
+
+    def classes(self) -> DataFrame:
+        """class, records, threads, links: how many records and threads share a class's span, and in how many pairs of different threads."""
+        by = self.members().groupBy("class", "thread").agg(F.count(F.lit(1)).alias("n"))
+        n = F.sum("n")
+        return by.groupBy("class").agg(n.alias("records"), F.count(F.lit(1)).alias("threads"), ((n * n - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("links"))
 
     def pairs(self) -> DataFrame:
         """row_a < row_b: every two records of different threads that share a span; each once."""
-        members = self.pieces.select("mini", "pk", "row", "thread").distinct()
-        held = self.runs.select("mini", F.col("no").cast("string").alias("of"), "pk").distinct()
-        if self._hot is not None:
-            held = held.unionByName(self._hot.select("mini", F.col("window").alias("of"), "pk").distinct())
-        of = held.join(members, ["mini", "pk"]).select("mini", "of", "row", "thread").distinct()
-        a, b = of.select("mini", "of", F.col("row").alias("row_a"), F.col("thread").alias("ta")), of.select("mini", "of", F.col("row").alias("row_b"), F.col("thread").alias("tb"))
-        return a.join(b, ["mini", "of"]).where("row_a < row_b AND ta != tb").select("row_a", "row_b").distinct()
+        of = self.members()
+        a, b = of.select("class", F.col("row").alias("row_a"), F.col("thread").alias("ta")), of.select("class", F.col("row").alias("row_b"), F.col("thread").alias("tb"))
+        return a.join(b, "class").where("row_a < row_b AND ta != tb").select("row_a", "row_b").distinct()
 
     def extents(self) -> DataFrame:
         """row, shared_chars: how many characters of a record stand in a span shared with another thread."""
