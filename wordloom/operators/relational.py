@@ -8,6 +8,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.storage import materialize
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Add the place of each row, from 1, in ``order``, which should be total.
+
+    No window over all rows: the rows are sorted by range and written, counted by range, and a row's place is the rows of
+    the ranges before it and its own within its range.  The driver sees one count for each range.
+    """
+    at = materialize(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    counts = sorted((r[0], r[1]) for r in at.groupBy(part).count().collect())
+    before, rows = 0, []
+    for p, n in counts:
+        rows.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(rows, "__part long, __before long")  # one row a range
+    own = at.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return own.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__before", "__at")
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row of each key, the first in ``order``."""
@@ -57,11 +77,38 @@ def keep_first_k(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str = "42") -> DataFrame:
-    """``n`` rows, of each stratum its share but at least one, topped up from the rest; order by md5 instead of a generator."""
+    """``n`` rows, of each stratum its share but at least one, topped up from the rest; order by md5 instead of a generator.
+
+    No stratum can give more than its first ``n`` rows, so these are cut out first: a limit that each task applies
+    before the shuffle, whatever a stratum's size.
+    """
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__g"))
     total = F.sum("__g").over(Window.partitionBy())
     quota = sizes.select(F.col(stratum).alias("__s"), F.greatest(F.lit(1), F.floor(F.least(F.lit(n), total) * F.col("__g") / total)).alias("__q"))
     w = Window.partitionBy(stratum).orderBy("__h", key)
-    ranked = df.withColumn("__h", hash_order(key, seed)).withColumn("__r", F.row_number().over(w))
+    ranked = df.withColumn("__h", hash_order(key, seed)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
     joined = ranked.join(quota, ranked[stratum].eqNullSafe(quota["__s"]))
     return joined.orderBy((F.col("__r") > F.col("__q")).cast("int"), "__h", key).limit(n).select(*df.columns)
+
+
+def value_at_half(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, upper_median, least, most: the value at rank n // 2 + 1 of each group, exactly; null values don't count.
+
+    Ranks come from the counts of the distinct values, split by ranges of values, so no group is sorted in one task: the
+    range that holds the rank is found from one count a range, and only its values are looked at.
+    """
+    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c")), "value-counts")
+    bounds = counted.groupBy(group).agg(F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile_approx(value, [i / 64 for i in range(1, 64)], 200).alias("cuts"))
+    b = materialize(bounds, "value-bounds")  # one row a group
+    cell = F.size(F.filter("cuts", lambda x: x < F.col(value)))
+    placed = counted.join(b.select(F.col(group).alias("__g"), "cuts"), F.col(group).eqNullSafe(F.col("__g"))).select(group, value, "c", cell.alias("cell"))
+    cells = placed.groupBy(group, "cell").agg(F.sum("c").alias("in_cell"))  # at most 64 a group
+    own = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("in_cell").over(own), F.lit(0)))
+    want = F.floor(F.col("n") / 2) + 1
+    hit = cells.join(b.select(F.col(group).alias("__g"), "n"), F.col(group).eqNullSafe(F.col("__g"))).where((F.col("before") < want) & (F.col("before") + F.col("in_cell") >= want)).select("__g", F.col("cell").alias("__c"), "before", want.alias("want"))
+    near = placed.join(F.broadcast(hit), F.col(group).eqNullSafe(F.col("__g")) & (F.col("cell") == F.col("__c")))
+    run = F.sum("c").over(Window.partitionBy(group).orderBy(value))
+    found = near.withColumn("run", run + F.col("before")).where(F.col("run") >= F.col("want")).groupBy(group).agg(F.min(value).alias("upper_median"))
+    f = found.select(F.col(group).alias("__g"), "upper_median")
+    return b.join(f, F.col(group).eqNullSafe(F.col("__g"))).select(group, "upper_median", "least", "most")

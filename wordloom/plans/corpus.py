@@ -10,22 +10,7 @@ from wordloom.plans.catalog import Catalog, table, texts
 from wordloom.storage import attach
 
 catalog = Catalog()
-body = W = None  # columns need a session, so they are bound when a query is called
-
-
-def q(name, sql=None):
-    def keep(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            global body, W
-            body = F.col("body")
-            W = tokens.words(body)
-            return f(spark, sf_dir)
-
-        catalog.add(name, sql)(run)
-        return f
-
-    return keep
-
+q = catalog.add
 
 C = "lcr_pass1b_canonical"
 WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(coalesce({c}, ''), 'https?://\\S+|www\\.\\S+|\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g')), '[^a-z]+'), lambda x: length(x) >= 3)"
@@ -47,12 +32,12 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 @q("c03_unescape", f"SELECT row_id, replace(replace(replace(replace(replace(replace(replace(body, '\\', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS body FROM {C}")
 def c03(s, d):
-    return corpus(s, d).select("row_id", clean.unescape(body).alias("body"))
+    return corpus(s, d).select("row_id", clean.unescape(F.col("body")).alias("body"))
 
 
 @q("c04_strip_urls", f"SELECT row_id, trim(regexp_replace(regexp_replace(body, 'https?://\\S+|www\\.\\S+|\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM {C}")
 def c04(s, d):
-    return corpus(s, d).select("row_id", clean.collapse(clean.strip_urls(body)).alias("body"))
+    return corpus(s, d).select("row_id", clean.collapse(clean.strip_urls(F.col("body"))).alias("body"))
 
 
 @q("c05_min_length", f"SELECT row_id FROM {C} WHERE length(body) > 30")
@@ -62,12 +47,12 @@ def c05(s, d):
 
 @q("c06_prefilter", f"SELECT row_id FROM {C} WHERE contains(lower(coalesce(body, '')), 'professional help') OR contains(lower(coalesce(body, '')), 'therapist') OR contains(lower(coalesce(body, '')), 'grounded in')")
 def c06(s, d):
-    return corpus(s, d).where(clean.contains_any(body, ["professional help", "therapist", "grounded in"])).select("row_id")
+    return corpus(s, d).where(clean.contains_any(F.col("body"), ["professional help", "therapist", "grounded in"])).select("row_id")
 
 
 @q("c07_stub_flag", f"SELECT row_id, {STUB} AS is_stub FROM {C}")
 def c07(s, d):
-    return corpus(s, d).select("row_id", clean.is_stub(body).alias("is_stub"))
+    return corpus(s, d).select("row_id", clean.is_stub(F.col("body")).alias("is_stub"))
 
 
 @q("c08_slug", "SELECT term, substring(regexp_replace(regexp_replace(lower(term), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS slug FROM seed_terms_round_2")
@@ -77,7 +62,7 @@ def c08(s, d):
 
 @q("c10_flat_prefix", f"SELECT row_id, substring(replace(body, chr(10), ' | '), 1, 200) AS flat FROM {C}")
 def c10(s, d):
-    return corpus(s, d).select("row_id", F.substring(clean.flat(body, " | "), 1, 200).alias("flat"))
+    return corpus(s, d).select("row_id", F.substring(clean.flat(F.col("body"), " | "), 1, 200).alias("flat"))
 
 
 @q("c13_pointer", "SELECT row_id, CASE WHEN regexp_matches(post_id, '^(\\S+)\\s*\\((.+)\\)\\s*$') THEN regexp_extract(post_id, '^(\\S+)\\s*\\((.+)\\)\\s*$', 1) ELSE post_id END AS id, CASE WHEN regexp_matches(post_id, '^(\\S+)\\s*\\((.+)\\)\\s*$') THEN regexp_extract(post_id, '^(\\S+)\\s*\\((.+)\\)\\s*$', 2) END AS hint FROM round_1_positive_cases")
@@ -152,12 +137,12 @@ def r15(s, d):
 
 @q("r16_stub_rate", f"SELECT subreddit, sum(CAST({STUB} AS INT)) AS hits, count(*) AS rows, round(avg(CAST({STUB} AS INT)), 4) AS rate FROM {C} GROUP BY subreddit")
 def r16(s, d):
-    return relational.rate_by(corpus(s, d), "subreddit", clean.is_stub(body))
+    return relational.rate_by(corpus(s, d), "subreddit", clean.is_stub(F.col("body")))
 
 
 @q("r17_not_blank", f"SELECT row_id FROM {C} WHERE body IS NOT NULL AND trim(body) <> ''")
 def r17(s, d):
-    return corpus(s, d).where(body.isNotNull() & (F.trim(body) != "")).select("row_id")
+    return corpus(s, d).where(F.col("body").isNotNull() & (F.trim(F.col("body")) != "")).select("row_id")
 
 
 _TAGS = f"FROM {C} c JOIN seed_terms_round_2 t ON contains(lower(c.body), lower(t.term))"
@@ -189,7 +174,7 @@ def t06(s, d):
 
 @q("t08_precision", f"SELECT subreddit, round(avg(CASE WHEN body IS NULL OR trim(body) = '' THEN 0.0 WHEN contains(lower(body), 'seek professional help') OR contains(lower(body), 'talk to a therapist') THEN 1.0 ELSE 0.5 END), 4) AS prec FROM {C} GROUP BY subreddit")
 def t08(s, d):
-    code, _ = tagging.auto_code(body, ["seek professional help", "talk to a therapist"])
+    code, _ = tagging.auto_code(F.col("body"), ["seek professional help", "talk to a therapist"])
     return corpus(s, d).groupBy("subreddit").agg(F.round(tagging.precision(code), 4).alias("prec"))
 
 
@@ -227,7 +212,7 @@ def x04(s, d):
 
 @q("x05_feature_flags", f"SELECT row_id, contains(body, '```') OR regexp_matches(body, '(?m)^    \\S') AS has_code, regexp_matches(body, '(?i)\\b(?:seek|talk to|get) \\w+') AS imperative FROM {C}")
 def x05(s, d):
-    return corpus(s, d).select("row_id", (F.contains(body, F.lit("```")) | body.rlike(r"(?m)^    \S")).alias("has_code"), body.rlike(r"(?i)\b(?:seek|talk to|get) \w+").alias("imperative"))
+    return corpus(s, d).select("row_id", (F.contains(F.col("body"), F.lit("```")) | F.col("body").rlike(r"(?m)^    \S")).alias("has_code"), F.col("body").rlike(r"(?i)\b(?:seek|talk to|get) \w+").alias("imperative"))
 
 
 _FREQ = f"SELECT term, count(*) AS n FROM (SELECT unnest({BODY}) AS term FROM {C}) GROUP BY term"
@@ -235,17 +220,17 @@ _FREQ = f"SELECT term, count(*) AS n FROM (SELECT unnest({BODY}) AS term FROM {C
 
 @q("f01_token_counts", f"SELECT row_id, len({BODY}) AS n_tokens FROM {C}")
 def f01(s, d):
-    return corpus(s, d).select("row_id", F.size(W).alias("n_tokens"))
+    return corpus(s, d).select("row_id", F.size(tokens.words(F.col("body"))).alias("n_tokens"))
 
 
 @q("f05_loose_denominator", f"SELECT row_id, len(list_filter(regexp_split_to_array(coalesce(body, ''), '[^a-zA-Z]+'), lambda x: length(x) >= 3)) AS n FROM {C}")
 def f05(s, d):
-    return corpus(s, d).select("row_id", F.size(F.filter(F.split(F.coalesce(body, F.lit("")), "[^a-zA-Z]+"), lambda x: F.length(x) >= 3)).alias("n"))
+    return corpus(s, d).select("row_id", F.size(F.filter(F.split(F.coalesce(F.col("body"), F.lit("")), "[^a-zA-Z]+"), lambda x: F.length(x) >= 3)).alias("n"))
 
 
 @q("f08_variants", f"WITH w AS (SELECT unnest({BODY}) AS w FROM {C}), l AS (SELECT w, CASE WHEN regexp_matches(w, '[^aeiou]ies$') AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?:ss|sh|ch|x|z)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^sui]s$') AND length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END AS m FROM w) SELECT variant, count(*) AS total, count(DISTINCT term) AS types FROM (SELECT 'raw' AS variant, w AS term FROM l UNION ALL SELECT 'stop', w FROM l WHERE w NOT IN ({STOP}) UNION ALL SELECT 'lemma', m FROM l UNION ALL SELECT 'lemma_stop', m FROM l WHERE m NOT IN ({STOP})) GROUP BY variant")
 def f08(s, d):
-    t = corpus(s, d).select(F.explode(W).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("m", tokens.lemma(F.col("w")))
+    t = corpus(s, d).select(F.explode(tokens.words(F.col("body"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("m", tokens.lemma(F.col("w")))
     stop = lambda c: ~F.col(c).isin(*tokens.STOPWORDS)
     v = F.explode(F.array(F.struct(F.lit("raw").alias("variant"), F.col("w").alias("term")), F.struct(F.lit("stop").alias("variant"), F.when(stop("w"), F.col("w")).alias("term")), F.struct(F.lit("lemma").alias("variant"), F.col("m").alias("term")), F.struct(F.lit("lemma_stop").alias("variant"), F.when(stop("m"), F.col("m")).alias("term")))).alias("v")
     g = t.select("n", v).where("v.term IS NOT NULL").groupBy("v.variant", "v.term").agg(F.sum("n").alias("n"))
@@ -263,24 +248,24 @@ def _ngram_sql(n: int, k: int) -> str:
 
 
 for _n in (2, 3, 4):
-    q(f"f10_ngrams_{_n}", _ngram_sql(_n, 200))(lambda s, d, n=_n: tokens.top(tokens.frequency(corpus(s, d).select(W.alias("w")), tokens.ngrams(F.col("w"), n)), 200))
+    q(f"f10_ngrams_{_n}", _ngram_sql(_n, 200))(lambda s, d, n=_n: tokens.top(tokens.frequency(corpus(s, d).select(tokens.words(F.col("body")).alias("w")), tokens.ngrams(F.col("w"), n)), 200))
 
 
 @q("f11_skipgrams", f"WITH t AS (SELECT row_id, {BODY} AS w FROM {C}), p AS (SELECT row_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t) SELECT a.x AS first, b.x AS second, count(*) AS n FROM p a JOIN p b ON a.row_id = b.row_id AND b.i - a.i BETWEEN 1 AND 2 GROUP BY 1, 2 ORDER BY n DESC, first, second LIMIT 200")
 def f11(s, d):
-    return tokens.skipgrams(corpus(s, d), W, 1).orderBy(F.desc("n"), "first", "second").limit(200)
+    return tokens.skipgrams(corpus(s, d), tokens.words(F.col("body")), 1).orderBy(F.desc("n"), "first", "second").limit(200)
 
 
 @q("f13_collocation_pmi", f"WITH t AS (SELECT row_id, {BODY} AS w FROM {C}), p AS (SELECT row_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t), f AS (SELECT x, count(*) AS n FROM p GROUP BY x), c AS (SELECT a.x AS anchor, width, b.x AS term, count(*) AS cooc FROM p a JOIN p b ON a.row_id = b.row_id AND a.i <> b.i JOIN (SELECT unnest([5, 10]) AS width) ON abs(a.i - b.i) <= width WHERE a.x IN ('warning', 'therapist', 'reminder') AND b.x <> a.x AND b.x NOT IN ({STOP}) GROUP BY ALL HAVING count(*) >= 5), s AS (SELECT anchor, width, term, cooc, fa.n AS anchor_n, fb.n AS freq, round(log2(cooc * (SELECT sum(n) FROM f)::DOUBLE / (fa.n * fb.n)), 4) AS pmi FROM c JOIN f fa ON fa.x = anchor JOIN f fb ON fb.x = term) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, width ORDER BY pmi DESC, term) AS rank FROM s) WHERE rank <= 50")
 def f13(s, d):
-    return tokens.collocations(corpus(s, d), W, ["warning", "therapist", "reminder"], [5, 10])
+    return tokens.collocations(corpus(s, d), tokens.words(F.col("body")), ["warning", "therapist", "reminder"], [5, 10])
 
 
 _CMP = f"WITH f AS (SELECT type, term, count(*) AS n FROM (SELECT type, unnest({BODY}) AS term FROM {C} WHERE type IS NOT NULL) GROUP BY type, term), x AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY n DESC, term) AS r, sum(n) OVER (PARTITION BY type) AS t FROM f), a AS (SELECT * FROM x WHERE type = 'post' AND r <= 200), b AS (SELECT * FROM x WHERE type = 'comment' AND r <= 200), z AS (SELECT coalesce(a.term, b.term) AS term, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, (SELECT max(t) FROM x WHERE type = 'post') AS ta, (SELECT max(t) FROM x WHERE type = 'comment') AS tb FROM a FULL JOIN b USING (term)), r AS (SELECT term, a, b, round(a / ta * 1000, 4) AS a_per_1k, round(b / tb * 1000, 4) AS b_per_1k, round((a / ta) / greatest(b / tb, 1e-9), 4) AS ratio FROM z) "
 
 
 def _compared(s, d):
-    f = tokens.frequency(corpus(s, d).where("type IS NOT NULL"), W, ["type"])
+    f = tokens.frequency(corpus(s, d).where("type IS NOT NULL"), tokens.words(F.col("body")), ["type"])
     return tokens.compare(f.where("type = 'post'").select("term", "n"), f.where("type = 'comment'").select("term", "n"))
 
 
@@ -291,7 +276,7 @@ q("f16_only_in_a", _CMP + "SELECT term FROM r WHERE b = 0")(lambda s, d: _compar
 
 @q("f17_stop_candidates", f"SELECT row_number() OVER (ORDER BY n DESC, term) AS rank, term, n, round(100.0 * n / sum(n) OVER (), 3) AS pct, term IN ({STOP}) AS in_stop FROM ({_FREQ}) ORDER BY n DESC, term LIMIT 50")
 def f17(s, d):
-    f = tokens.frequency(corpus(s, d), W)
+    f = tokens.frequency(corpus(s, d), tokens.words(F.col("body")))
     total = f.agg(F.sum("n").alias("total"))
     t = attach(tokens.top(f, 50), total)
     return t.select(F.row_number().over(Window.orderBy(F.desc("n"), "term")).alias("rank"), "term", "n", F.round(100.0 * F.col("n") / F.col("total"), 3).alias("pct"), F.col("term").isin(*tokens.STOPWORDS).alias("in_stop"))
@@ -300,13 +285,13 @@ def f17(s, d):
 @q("k01_kwic", f"WITH t AS (SELECT row_id, {BODY} AS w FROM {C}), p AS (SELECT row_id, w, unnest(range(len(w))) AS pos FROM t) SELECT row_id, 'professional help' AS seed, pos, array_to_string(w[greatest(pos - 4, 1):pos], ' ') AS left_context, array_to_string(w[pos + 3:pos + 7], ' ') AS right_context FROM p WHERE w[pos + 1] = 'professional' AND w[pos + 2] = 'help'")
 def k01(s, d):
     seeds = s.createDataFrame([("professional help", ["professional", "help"])], "seed string, seed_tokens array<string>")
-    return tokens.kwic(corpus(s, d), W, seeds, 5, ["row_id"])
+    return tokens.kwic(corpus(s, d), tokens.words(F.col("body")), seeds, 5, ["row_id"])
 
 
 @q("k02_hit_counts", f"SELECT term AS seed, count(*) AS total, count_if(type = 'post') AS posts, count_if(type = 'comment') AS comments FROM (SELECT type, unnest({BODY}) AS term FROM {C}) WHERE term IN ('warning', 'therapist', 'reminder', 'memory') GROUP BY term")
 def k02(s, d):
     seeds = s.createDataFrame([(w, [w]) for w in ("warning", "therapist", "reminder", "memory")], "seed string, seed_tokens array<string>")
-    return tokens.kwic(corpus(s, d), W, seeds, 5, ["type"]).groupBy("seed").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"))
+    return tokens.kwic(corpus(s, d), tokens.words(F.col("body")), seeds, 5, ["type"]).groupBy("seed").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("type") == "post").alias("posts"), F.count_if(F.col("type") == "comment").alias("comments"))
 
 
 @q("k03_group_sample", f"SELECT subreddit, row_id FROM (SELECT subreddit, row_id, row_number() OVER (PARTITION BY subreddit ORDER BY md5('42|' || row_id), row_id) AS n FROM {C}) WHERE n <= 20")
@@ -337,7 +322,7 @@ def whole_edges(s, d, kind=None):
 
 @q("k06_vocabulary", _VOC)
 def k06(s, d):
-    return graph.vocabulary(corpus(s, d).select(tokens.content(W).alias("w")), F.col("w"), 150)
+    return graph.vocabulary(corpus(s, d).select(tokens.content(tokens.words(F.col("body"))).alias("w")), F.col("w"), 150)
 
 
 @q("k07_cooccurrence", f"WITH {_EDGES} SELECT * FROM e")
@@ -406,7 +391,7 @@ def p09(s, d):
 
 @q("v01_row_labels")
 def v01(s, d):
-    return corpus(s, d).select("row_id", segments.classify(F.coalesce(body, F.lit(""))).alias("c")).select("row_id", "c.*")
+    return corpus(s, d).select("row_id", segments.classify(F.coalesce(F.col("body"), F.lit(""))).alias("c")).select("row_id", "c.*")
 
 
 @q("v02_spans")
@@ -449,7 +434,7 @@ def p01(s, d):
 @q("rp04_category_pivot", f"WITH f AS (SELECT type, CASE WHEN term IN ('warning', 'reminder', 'layer') THEN 'mechanism' WHEN term IN ('therapist', 'help', 'patient') THEN 'care' END AS category FROM (SELECT type, unnest({BODY}) AS term FROM {C})), t AS (SELECT type, count(*) AS total FROM f GROUP BY type) SELECT category, round(1000.0 * count_if(type = 'post') / (SELECT total FROM t WHERE type = 'post'), 4) AS post, round(1000.0 * count_if(type = 'comment') / (SELECT total FROM t WHERE type = 'comment'), 4) AS comment FROM f WHERE category IS NOT NULL GROUP BY category")
 def p04(s, d):
     cat = F.when(F.col("term").isin("warning", "reminder", "layer"), "mechanism").when(F.col("term").isin("therapist", "help", "patient"), "care")
-    f = tokens.frequency(corpus(s, d), W, ["type"])
+    f = tokens.frequency(corpus(s, d), tokens.words(F.col("body")), ["type"])
     total = f.groupBy("type").agg(F.sum("n").alias("total"))
     g = f.withColumn("category", cat).where("category IS NOT NULL").groupBy("type", "category").agg(F.sum("n").alias("n")).join(F.broadcast(total), "type")  # two types
     return g.groupBy("category").pivot("type", ["post", "comment"]).agg(F.round(1000.0 * F.sum("n") / F.first("total"), 4))
@@ -459,7 +444,7 @@ _DAILY = f"d AS (SELECT CAST(ingested_at AS DATE) AS day, count_if(contains(lowe
 
 
 def _daily(s, d):
-    g = corpus(s, d).where("ingested_at IS NOT NULL").groupBy(F.to_date("ingested_at").alias("day")).agg(F.count_if(F.contains(F.lower(body), F.lit("therapist"))).alias("hits"), F.sum(F.size(W)).alias("tokens"))
+    g = corpus(s, d).where("ingested_at IS NOT NULL").groupBy(F.to_date("ingested_at").alias("day")).agg(F.count_if(F.contains(F.lower(F.col("body")), F.lit("therapist"))).alias("hits"), F.sum(F.size(tokens.words(F.col("body")))).alias("tokens"))
     spine = g.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
     z = spine.join(g, "day", "left")
     return z.select("day", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("tokens") >= 50, F.round(1000.0 * F.col("hits") / F.col("tokens"), 4)).alias("rate"))
@@ -496,10 +481,7 @@ def p11(s, d):
 
 @q("rp13_upper_median", "SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS upper_median, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 def p13(s, d):
-    # exact, without gathering a group: the row at that rank
-    w = Window.partitionBy("event_type")
-    e = table(s, d, "events").where("value IS NOT NULL").withColumn("n", F.count("value").over(w)).withColumn("r", F.row_number().over(w.orderBy("value")))
-    return e.groupBy("event_type").agg(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("value"))).alias("upper_median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return relational.value_at_half(table(s, d, "events"), "event_type", "value")
 
 
 @q("s18_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

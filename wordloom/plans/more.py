@@ -70,7 +70,8 @@ def t12(s, d):
 @q("t13_multi_key_sort", "SELECT row_number() OVER (ORDER BY TRY_CAST(regexp_extract(c_name, '[1-5]{3}$') AS INT) DESC NULLS LAST, c_acctbal DESC, c_custkey) AS place, c_custkey FROM customer")
 def t13(s, d):
     num = F.regexp_extract("c_name", "[1-5]{3}$", 0).try_cast("int")
-    return table(s, d, "customer").select(F.row_number().over(Window.orderBy(num.desc_nulls_last(), F.desc("c_acctbal"), "c_custkey")).alias("place"), "c_custkey")
+    rows = table(s, d, "customer").select("c_custkey", "c_acctbal", num.alias("num"))
+    return relational.global_rank(rows, [F.col("num").desc_nulls_last(), F.desc("c_acctbal"), F.col("c_custkey")]).select("place", "c_custkey")
 
 
 LOOSE = "list_filter(regexp_split_to_array(regexp_replace(translate(lower(regexp_replace(coalesce(body, ''), 'https?://\\S+|www\\.\\S+', ' ', 'g')), '‘’“”', '''''\"\"'), '[^a-z0-9 ''\\-]', ' ', 'g'), ' +'), lambda x: x <> '')"
