@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom.llm import encoding, frequency, leakage, markup, pii, residue, sentences, spans
+from wordloom.llm import encoding, frequency, leakage, markup, pages, pii, residue, sentences, spans
 
 NAMES = [("Maria", "given"), ("Ingrid", "given"), ("Velkin", "family"), ("Ashcombe-Ruel", "family")]
 VOCABULARY = os.environ.get("WORDLOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -193,6 +193,50 @@ def test_clean_keeps_structure(spark):
     assert {r[0]: r[1] for r in markup.clean_markup(df, text="t").collect()} == {1: None, 2: "plain < text"}
 
 
+# pages
+
+def test_common_lines_are_a_longest_subsequence():
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+    def check(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        at = pages.common_lines(a, b)
+        it = iter(b)
+        assert len(at) == best[-1][-1] and at == sorted(set(at)) and all(any(x == y for y in it) for x in (a[i] for i in at))
+
+    check()
+
+
+def test_pages_lose_the_frame_of_their_host(spark):
+    frame = "Menu\n\nHome\n{}\nImprint"
+    rows = [(1, "https://A.example/x/one", frame.format("first\ntext")), (2, "https://a.example/x/two", frame.format("second")), (3, "https://a.example/y", "Other\npage"), (4, "https://b.example/", frame.format("alone")), (5, None, "no address"), (6, "https://a.example/x/one", None), (7, "https://c.example", ""), (8, "https://c.example", "same"), (9, "https://c.example", "same")]
+    df = spark.createDataFrame(rows, "page_id long, url string, text string")
+    got = {r["page_id"]: (r["clean_text"], r["removed"]) for r in pages.difference_pages(df).collect()}
+    assert got[1] == ("\nfirst\ntext", 3) and got[2] == ("\nsecond", 3) and got[3][1] == 0 and got[4][1] == 0 and got[5] == ("no address", 0) and got[6] == (None, 0)
+    assert got[8] == ("same", 0) and got[9] == ("", 1) and len(got) == 9  # the neighbour before is taken on a tie
+    assert pages.difference_pages(df.limit(0)).count() == 0
+
+
+# markup kept
+
+def test_clean_text_keeps_structure_in_every_language():
+    heads, items, code, formula = ["Alpha part", "Beta part"], ["first thing", "second thing"], "x = y < 3", "$\\frac{a}{b} = c_1$"
+    forms = {
+        "html": "".join(f"<h2>{h}</h2>" for h in heads) + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul><pre><code>x = y &lt; 3</code></pre><p>" + formula + "</p>",
+        "markdown": "\n".join(f"## {h}\n" for h in heads) + "\n" + "\n".join(f"* {i}" for i in items) + f"\n\n```\n{code}\n```\n\n{formula}",
+        "wiki": "\n".join(f"== {h} ==" for h in heads) + "\n" + "\n".join(f"* {i}" for i in items) + f"\n<pre>{code.replace('<', '&lt;')}</pre>\n[[Page|shown]] {formula}",
+        "latex": "\n".join(f"\\section{{{h}}}" for h in heads) + "\n\\begin{itemize}\n" + "\n".join(f"\\item {i}" for i in items) + f"\n\\end{{itemize}}\n`{code}`\n{formula}",
+    }
+    for name, text in forms.items():
+        out = markup.clean(text)
+        lines = [x.strip() for x in out.splitlines()]
+        assert all(f"# {h}" in lines for h in heads) and all(f"- {i}" in lines for i in items) and code in out and formula in out, (name, out)
+        assert not re.search(r"</?(?:h2|ul|li|pre|code|p)>|==|\\(?:section|item|begin|end)", out), (name, out)
+
+
 # residue
 
 def test_residue_held_out_accuracy(spark):

@@ -11,6 +11,7 @@ from wordloom.llm.encoding import encode_texts
 from wordloom.llm.frequency import TermLedger, marked_terms
 from wordloom.llm.leakage import ShardIndex, leaked
 from wordloom.llm.markup import clean_markup, find_markup
+from wordloom.llm.pages import difference_pages
 from wordloom.llm.pii import find_kinds, redact
 from wordloom.llm.residue import find_residue, fit
 from wordloom.llm.sentences import split_sentences
@@ -201,6 +202,16 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union([clean_markup(texts(spark, sf_dir, t), text=c).select(F.lit(t).alias("src"), "row_id", "clean_text") for t, c in P6_FIELDS])
 
 
+_LINK = r"https?://[^\s)\]}>\"'|]+"
+
+
+@catalog.add("p6_differenced")
+def p6_differenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named method on what is nearest to a page's address here: the first link in a text. It doesn't find markup."""
+    rows = texts(spark, sf_dir, "lcr_pass1b_canonical").select("row_id", "body", F.nullif(F.regexp_extract("body", _LINK, 0), F.lit("")).alias("link"))
+    return difference_pages(rows, url="link", text="body", id_col="row_id").where("removed > 0")
+
+
 @catalog.add("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = texts(spark, sf_dir, "lcr_pass1b_canonical")
