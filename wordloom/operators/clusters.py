@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.storage import attach
+from wordloom.storage import attach, broadcast_checked
 
 
 def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -50,7 +50,7 @@ def exemplars(df: DataFrame, key: str, vector: str, label: str, k: int = 10) ->
     """label, rank, key, distance: the ``k`` items nearest to the centroid of each cluster, noise left out."""
     d = df.where((F.col(label) != -1) & F.col(vector).isNotNull())
     mean = d.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m")).groupBy(label).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))
-    x = d.join(F.broadcast(mean), label)  # a row for each cluster
+    x = d.join(broadcast_checked(mean, 2_000), label)  # a vector for each cluster
     dist = F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.col("c"), lambda v, c: (v - c["m"]) * (v - c["m"])), F.lit(0.0), lambda s, v: s + v))
     w = Window.partitionBy(label).orderBy("distance", key)
     return x.withColumn("distance", F.round(dist, 4)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(label, "rank", key, "distance")
@@ -227,3 +227,48 @@ def density_clusters(df: DataFrame, group: str, key: str, vector: str, *, min_si
         edges = edges.withColumn("slot", (F.col("slot") / fold).cast("int")).groupBy("_g", "slot").applyInPandas(_forest, schema)
     labels = edges.groupBy("_g").applyInPandas(label, f"{g}, _k {k}, cluster int")
     return df.select(group, key).join(labels, F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k")), "left").select(group, key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def support(seeds: DataFrame, hits: DataFrame, seed: str, least: int = 50) -> DataFrame:
+    """seed, hits, status: ``kept`` from ``least`` hits on, ``too few`` below, ``skipped`` without any."""
+    n = hits.groupBy(seed).agg(F.count(F.lit(1)).alias("hits"))
+    x = seeds.join(n, seed, "left").select(seed, F.coalesce("hits", F.lit(0)).alias("hits"))
+    return x.withColumn("status", F.when(F.col("hits") == 0, "skipped").when(F.col("hits") < least, "too few").otherwise("kept"))
+
+
+def ari_matrix(df: DataFrame, key: str, model: str, size: str, label: str, noise: int | None = -1) -> DataFrame:
+    """model_a, mcs_a, model_b, mcs_b, ari of every two configurations, each pair once; all pairs in one contingency table.
+
+    Items whose label is ``noise`` in either are left out, with None they are a cluster.  Fewer than two items give null.
+    """
+    rows = df.where(F.lit(True) if noise is None else F.col(label) != noise)
+    config = F.struct(F.col(model).alias("m"), F.col(size).alias("s"))
+    a, b = (rows.select(key, config.alias(f"c{n}"), F.col(label).alias(n)) for n in "ab")
+    cells = a.join(b, key).where("ca < cb").groupBy("ca", "cb", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    two = lambda c: c * (c - 1) / 2
+    both = cells.groupBy("ca", "cb").agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
+    sides = [cells.groupBy("ca", "cb", x).agg(F.sum("n").alias("n")).groupBy("ca", "cb").agg(F.sum(two(F.col("n"))).alias(f"s{x}")) for x in "ab"]
+    x = both.join(sides[0], ["ca", "cb"]).join(sides[1], ["ca", "cb"])
+    expected, most = F.col("sa") * F.col("sb") / two(F.col("n")), (F.col("sa") + F.col("sb")) / 2
+    ari = F.when(F.col("n") < 2, None).when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected))
+    return x.select(F.col("ca.m").alias("model_a"), F.col("ca.s").alias("mcs_a"), F.col("cb.m").alias("model_b"), F.col("cb.s").alias("mcs_b"), F.round(ari, 4).alias("ari"))
+
+
+def ari_means(matrix: DataFrame, same_size: bool = True) -> DataFrame:
+    """kind, mean_ari, pairs: ``cross`` over pairs of two models, with ``same_size`` at one size only, ``within`` over pairs in one model."""
+    cross = F.col("model_a") != F.col("model_b")
+    kept = matrix.where(~cross | (F.col("mcs_a") == F.col("mcs_b"))) if same_size else matrix
+    return kept.groupBy(F.when(cross, "cross").otherwise("within").alias("kind")).agg(F.round(F.avg("ari"), 4).alias("mean_ari"), F.count(F.lit(1)).alias("pairs"))
+
+
+def features(df: DataFrame, cluster: str, flags: list[str], category: str) -> DataFrame:
+    """cluster, n, share of each flag, dominant category (the later name on a tie) and its distribution as ``name:count`` in order of name."""
+    g = df.groupBy(cluster, category).agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.col(f).cast("int")).alias(f) for f in flags])
+    named = F.col(category).isNotNull()
+    pairs = F.array_sort(F.collect_list(F.when(named, F.struct(F.col(category).alias("v"), F.col("c")))))
+    return g.groupBy(cluster).agg(
+        F.sum("c").alias("n"),
+        *[F.round(F.sum(f) / F.sum("c"), 4).alias(f) for f in flags],
+        F.max(F.when(named, F.struct(F.col("c"), F.col(category).alias("v"))))["v"].alias("dominant"),
+        F.nullif(F.array_join(F.transform(pairs, lambda x: F.concat(x["v"], F.lit(":"), x["c"].cast("string"))), ","), F.lit("")).alias("distribution"),
+    )

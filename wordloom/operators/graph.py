@@ -111,3 +111,25 @@ def duplicate_prefixes(df: DataFrame, text: str, n: int = 200) -> DataFrame:
     key = F.trim(F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, n)))
     g = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) < 30).alias("s"))
     return g.agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c") - 1)), F.lit(0)).alias("repeats"), F.count(F.lit(1)).alias("prefixes"), F.coalesce(F.sum("s"), F.lit(0)).alias("short"))
+
+
+def adjacency(e: DataFrame, k: int = 200) -> DataFrame:
+    """src, dst, weight: every cell of the matrix of the ``k`` terms of the highest degree, 0 without an edge."""
+    names = top(degrees(e), k, n="degree").select("term")
+    cells = names.select(F.col("term").alias("src")).join(F.broadcast(names.select(F.col("term").alias("dst"))), how="cross")  # k by k, whatever the corpus
+    both = e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return cells.join(both, ["src", "dst"], "left").select("src", "dst", F.coalesce("weight", F.lit(0)).alias("weight"))
+
+
+def prefix_examples(df: DataFrame, text: str, key: str, k: int = 5, n: int = 200) -> DataFrame:
+    """prefix, copies, example: the ``k`` prefixes that most texts share, with the least key of each."""
+    p = F.trim(F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, n)))
+    g = df.groupBy(p.alias("prefix")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("example"))
+    return g.where("copies > 1").orderBy(F.desc("copies"), "prefix").limit(k)
+
+
+def ego_status(words: DataFrame, vocab: DataFrame, degree: DataFrame, least: int = 100) -> DataFrame:
+    """term, df, status, neighbours: ``built`` where a word is frequent enough and has an edge, else what it lacks."""
+    x = words.join(vocab.withColumnRenamed("n", "df"), "term", "left").join(degree, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    status = F.when(F.col("df") < least, "too rare").when(F.col("degree").isNull(), "no edge").otherwise("built")
+    return x.select("term", "df", status.alias("status"), F.when(F.col("df") >= least, F.coalesce("degree", F.lit(0))).otherwise(0).alias("neighbours"))

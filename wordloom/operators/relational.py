@@ -112,3 +112,26 @@ def value_at_half(df: DataFrame, group: str, value: str) -> DataFrame:
     found = near.withColumn("run", run + F.col("before")).where(F.col("run") >= F.col("want")).groupBy(group).agg(F.min(value).alias("upper_median"))
     f = found.select(F.col(group).alias("__g"), "upper_median")
     return b.join(f, F.col(group).eqNullSafe(F.col("__g"))).select(group, "upper_median", "least", "most")
+
+
+def lookup(df: DataFrame, known: DataFrame, key: str, order: str, fields: list[str], default: str = "unknown") -> DataFrame:
+    """Add ``fields`` of the row of ``known`` with the same key, the last in ``order``; without one, ``default``. Null keys find nothing."""
+    last = known.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*[F.max_by(c, order).alias(f"__{c}") for c in fields])
+    x = df.join(last, F.col(key) == F.col("__k"), "left").withColumns({c: F.coalesce(F.col(f"__{c}").cast("string"), F.lit(default)) for c in fields})
+    return x.drop("__k", *[f"__{c}" for c in fields])
+
+
+def change_flags(new: DataFrame, old: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """``new`` rows whose key is in ``old``, with ``<field>_changed`` yes or no against the last old row in ``order``; two nulls are no change."""
+    last = old.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*[F.max_by(c, order).alias(f"__{c}") for c in fields])
+    x = new.join(last, F.col(key) == F.col("__k"))
+    return x.withColumns({f"{c}_changed": F.when(F.col(c).eqNullSafe(F.col(f"__{c}")), "no").otherwise("yes") for c in fields}).drop("__k", *[f"__{c}" for c in fields])
+
+
+def routed(df: DataFrame, depends: dict[str, str], exclusive: tuple[str, str] | None = None) -> DataFrame:
+    """Fields of ``depends`` become null where the field they depend on is; ``valid``: the exclusive value of a list field stands alone or not at all."""
+    x = df.withColumns({f: F.when(F.col(on).isNotNull(), F.col(f)) for f, on in depends.items()})
+    if not exclusive:
+        return x.withColumn("valid", F.lit(True))
+    field, value = exclusive
+    return x.withColumn("valid", ~F.coalesce(F.array_contains(field, value) & (F.size(field) > 1), F.lit(False)))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators.clean import slug
@@ -21,14 +24,18 @@ def read_terms(terms: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
+def _compiles(pattern: str) -> bool:
+    try:
+        SparkSession.getActiveSession().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def matches(text: Column, term: dict) -> Column:
-    """Literal terms match as substrings in any case, terms marked ``regex`` as patterns if they compile."""
-    if term.get("retrieval_action") == "regex":
-        try:
-            re.compile(term["term"])
-            return text.rlike("(?i)" + term["term"])
-        except re.error:
-            pass
+    """Literal terms match as substrings in any case, terms marked ``regex`` as patterns if they compile in the engine that runs them."""
+    if term.get("retrieval_action") == "regex" and _compiles("(?i)" + term["term"]):
+        return text.rlike("(?i)" + term["term"])
     return F.contains(F.lower(text), F.lit(term["term"].lower()))
 
 
@@ -77,12 +84,58 @@ def proximity(df: DataFrame, text: str, a: str, b: str, *, reach: int = 1500, ma
     return rows.select(*keep, part("__a", "__la").alias("match_a"), part("__b", "__lb").alias("match_b"), F.substring(c, low, high - low + 1).alias("context"))
 
 
-def priority(df: DataFrame, text: str, patterns: list[str], keep: list[str]) -> DataFrame:
-    """keep, pattern_id, match: the first pattern in the list that matches a text wins."""
+def priority(df: DataFrame, text: str, patterns: list[str], keep: list[str], context: int | None = None) -> DataFrame:
+    """keep, pattern_id, match: the first pattern in the list that matches a text wins; with ``context``, that many characters on either side too."""
     c = F.col(text)
     which = F.coalesce(*[F.when(c.rlike(p), F.lit(i)) for i, p in enumerate(patterns)])
-    found = F.coalesce(*[F.when(c.rlike(p), F.regexp_substr(c, F.lit(p))) for p in patterns])
-    return df.select(*keep, which.alias("pattern_id"), found.alias("match")).where(F.col("pattern_id").isNotNull())
+    found = df.select(*keep, text, which.alias("pattern_id")).where(F.col("pattern_id").isNotNull())
+    pick = lambda f: F.coalesce(*[F.when(F.col("pattern_id") == i, f(c, F.lit(p))) for i, p in enumerate(patterns)])
+    out = found.withColumn("match", pick(F.regexp_substr))
+    if context is None:
+        return out.select(*keep, "pattern_id", "match")
+    at = F.instr(c, F.col("match"))
+    low = F.greatest(at - context, F.lit(1))
+    return out.select(*keep, "pattern_id", "match", F.substring(c, low, at + F.length("match") + context - low).alias("context"))
+
+
+def windows_around(text: str, terms: list[str], before: int = 1100, after: int = 500, gap: int = 200) -> list[tuple[int, int]]:
+    """Stretches around every place of a term (in any case), those at most ``gap`` apart made one, snapped to sentences.
+
+    A stretch begins after the first ``". "`` within 250 characters of its start, and ends with the last one between 250
+    characters before its end and 120 after it; without one it stays.
+    """
+    low = text.lower()
+    at = sorted({m.start() for t in terms for m in re.finditer(re.escape(t.lower()), low)})
+    islands: list[list[int]] = []
+    for p in at:
+        a, b = max(0, p - before), min(len(text), p + after)
+        if islands and a <= islands[-1][1] + gap:
+            islands[-1][1] = max(islands[-1][1], b)
+        else:
+            islands.append([a, b])
+    out = []
+    for a, b in islands:
+        if a:
+            s = text.find(". ", a, a + 250)
+            a = s + 2 if s >= 0 else a
+        if b < len(text):
+            e = text.rfind(". ", max(a, b - 250), b + 120)
+            b = e + 1 if e >= 0 else b
+        out.append((a, b))
+    return out
+
+
+def excerpts(df: DataFrame, text: str, key: str, terms: list[dict], separator: str = "\n[...]\n") -> DataFrame:
+    """key, places, excerpt: the evidence around the terms of each text; null where no term stands. Null texts give null."""
+    words = [t["term"] for t in terms if t["term"]]
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [windows_around(t or "", words) for t in pdf["t"]]
+            yield pd.DataFrame({key: pdf["k"], "places": [len(f) for f in found], "excerpt": [separator.join(t[a:b] for a, b in f) if f else None for t, f in zip(pdf["t"], found)]}).astype({"excerpt": "object"})
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, places int, excerpt string")
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, gap: int = 200) -> DataFrame:

@@ -9,7 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.operators.clean import strip_urls
+from wordloom.operators.clean import URL, strip_urls
 from wordloom.storage import attach, broadcast_checked
 
 # Function words left out on request, with four artefacts of noun lemmas.
@@ -80,9 +80,9 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def skipgrams(df: DataFrame, tokens: Column, skip: int, compat: bool = False) -> DataFrame:
-    """Pairs at most ``1 + skip`` apart; ``compat`` counts a pair once for every window that contains it."""
+    """Pairs at most ``1 + skip`` apart; ``compat`` takes pairs up to ``2 + skip`` apart and counts a pair once for every window of ``2 + 2 * skip`` that holds it."""
     width = 2 + 2 * skip
-    reach = skip + 1
+    reach = skip + 2 if compat else skip + 1
     t = df.select(tokens.alias("t")).where(F.size("t") > 1)
     d = t.select("t", F.posexplode("t").alias("a", "first"))
     pairs = d.select(F.col("a"), "first", F.posexplode(F.slice("t", F.col("a") + 2, F.lit(reach))).alias("d", "second"))
@@ -170,3 +170,35 @@ def kwic(df: DataFrame, tokens: Column, seeds: DataFrame, width: int | list[int]
     n, p = F.size("seed_tokens"), F.col("pos")
     left = F.slice("t", F.greatest(p - w, F.lit(0)) + 1, F.least(p, w))
     return hit.select(*keep, "seed", "pos", F.array_join(left, " ").alias("left_context"), F.array_join(F.slice("t", p + n + 1, w), " ").alias("right_context"))
+
+
+def raw_tokens(c: Column) -> Column:
+    """Tokens between white space, URLs left out, in their own case; an empty or null text has none."""
+    return F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), URL, " ")), "[ \\t\\r\\n]+"), lambda x: x != "")
+
+
+def sense_contexts(df: DataFrame, text: str, seeds: DataFrame, keep: list[str], width: int = 20, compat: bool = False) -> DataFrame:
+    """keep, seed, pos, seed_token, left_context, right_context: every place where a seed's tokens stand, in any case.
+
+    ``compat`` centres on the token before the seed, as the second variant does, or on the first token of a text.  Seeds
+    are joined by their first token, so a text meets only seeds that can stand in it.
+    """
+    s = seeds.select("seed", F.transform(raw_tokens(F.col("seed")), F.lower).alias("__s")).where(F.size("__s") > 0)
+    at = df.select(*keep, raw_tokens(F.col(text)).alias("__t")).select(*keep, "__t", F.posexplode("__t").alias("pos", "x"))
+    hit = at.join(broadcast_checked(s.withColumn("__f", F.element_at("__s", 1))), F.lower("x") == F.col("__f"))
+    n = F.size("__s")
+    hit = hit.where(F.transform(F.slice("__t", F.col("pos") + 1, n), F.lower) == F.col("__s"))
+    if compat:
+        hit = hit.withColumn("pos", F.greatest(F.col("pos") - 1, F.lit(0)))
+        n = F.lit(1)
+    left = F.array_join(F.slice("__t", F.greatest(F.col("pos") - width, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(width))), " ")
+    right = F.array_join(F.slice("__t", F.col("pos") + n + 1, F.lit(width)), " ")
+    return hit.select(*keep, "seed", "pos", F.array_join(F.slice("__t", F.col("pos") + 1, n), " ").alias("seed_token"), left.alias("left_context"), right.alias("right_context"))
+
+
+def category_rates(freq: DataFrame, dim: DataFrame, by: str) -> DataFrame:
+    """category, by, n, per_1k: what a thousand words of each stratum have of a category's terms; ``freq`` has by, term and n, ``dim`` category and term."""
+    total = freq.groupBy(by).agg(F.sum("n").alias("__total"))
+    n = freq.join(broadcast_checked(dim.distinct()), "term").groupBy("category", by).agg(F.sum("n").alias("n"))
+    every = dim.select("category").distinct().join(broadcast_checked(total), how="cross")  # categories by strata, both counted
+    return every.join(n, ["category", by], "left").select("category", by, F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) * 1000.0 / F.col("__total"), 4).alias("per_1k"))

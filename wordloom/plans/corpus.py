@@ -191,14 +191,6 @@ def x01(s, d):
     return tagging.proximity(corpus(s, d), "body", _A, _B, keep=["row_id"])
 
 
-_P = ["(?is)took back the warning", "(?is)called my \\w+ \\w*", "(?is)looked at our chat again"]
-
-
-@q("x02_priority_search", f"SELECT row_id, CASE WHEN regexp_matches(body, '{_P[0]}') THEN 0 WHEN regexp_matches(body, '{_P[1]}') THEN 1 ELSE 2 END AS pattern_id, CASE WHEN regexp_matches(body, '{_P[0]}') THEN regexp_extract(body, '{_P[0]}') WHEN regexp_matches(body, '{_P[1]}') THEN regexp_extract(body, '{_P[1]}') ELSE regexp_extract(body, '{_P[2]}') END AS match FROM {C} WHERE regexp_matches(body, '{_P[0]}') OR regexp_matches(body, '{_P[1]}') OR regexp_matches(body, '{_P[2]}')")
-def x02(s, d):
-    return tagging.priority(corpus(s, d), "body", _P, ["row_id"])
-
-
 @q("x03_pattern_counts", "SELECT pattern_id, count(*) AS n FROM yield_search_candidates GROUP BY pattern_id")
 def x03(s, d):
     return table(s, d, "yield_search_candidates").groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
@@ -487,8 +479,3 @@ def p13(s, d):
 @q("s18_json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def s18(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@q("s13_adjacency", "SELECT l_returnflag AS src, count_if(l_linestatus = 'F') AS f, count_if(l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")
-def s13(s, d):
-    return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("src")).pivot("l_linestatus", ["F", "O"]).count().select("src", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))

@@ -60,13 +60,6 @@ def t10(s, d):
     return table(s, d, "seed_terms_round_2").select("term", F.when(clean.contains_any(F.col("pattern_type"), ["reaction", "grammat"]), "retrieval_anchor").otherwise("validated_detector").alias("function"))
 
 
-@q("t12_k_of_n", "SELECT l_linenumber AS term, count(*) AS n, round_even(avg(l_discount) * count(*), 0) || '/' || count(*) AS cell FROM lineitem GROUP BY l_linenumber")
-def t12(s, d):
-    n = F.count(F.lit(1))
-    k = F.bround(F.avg("l_discount") * n, 0)
-    return table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("term")).agg(n.alias("n"), F.concat(k.cast("string"), F.lit("/"), n.cast("string")).alias("cell"))
-
-
 @q("t13_multi_key_sort", "SELECT row_number() OVER (ORDER BY TRY_CAST(regexp_extract(c_name, '[1-5]{3}$') AS INT) DESC NULLS LAST, c_acctbal DESC, c_custkey) AS place, c_custkey FROM customer")
 def t13(s, d):
     num = F.regexp_extract("c_name", "[1-5]{3}$", 0).try_cast("int")
@@ -145,17 +138,6 @@ def k16(s, d):
     return both.select("shared", F.round(F.when(F.col("u") == 0, 0.0).otherwise(F.col("shared") / F.col("u")), 4).alias("jaccard"))
 
 
-@q("d10_verdict", "SELECT label, CASE WHEN label <= 1 OR ari < 0.2 THEN 'FALSIFIED' WHEN ari >= 0.4 THEN 'WORKS' ELSE 'INCONCLUSIVE' END AS verdict FROM (SELECT label, count(*) / 100.0 AS ari FROM embeddings GROUP BY label)")
-def d10(s, d):
-    g = table(s, d, "embeddings").groupBy("label").agg((F.count(F.lit(1)) / 100.0).alias("ari"))
-    return g.select("label", clusters.verdict(F.col("label"), F.col("ari")).alias("verdict"))
-
-
-@q("d12_cluster_features", "SELECT label, count(*) AS n, round(avg(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END), 4) AS flag_share, round(avg(embedding[1]), 4) AS first_mean FROM embeddings GROUP BY label")
-def d12(s, d):
-    return table(s, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("vec_id") % 3 == 0).cast("int")), 4).alias("flag_share"), F.round(F.avg(F.col("embedding")[0]), 4).alias("first_mean"))
-
-
 @q("v13_confidence_distribution")
 def v13(s, d):
     rows = corpus(s, d).select("type", segments.classify(F.coalesce("body", F.lit(""))).alias("c")).groupBy("type", "c.label", "c.confidence").agg(F.count(F.lit(1)).alias("n"))
