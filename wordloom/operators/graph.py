@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.tokens import top
-from wordloom.storage import attach, broadcast_checked
+from wordloom.storage import attach, broadcast_checked, materialize
 
 
 def vocabulary(df: DataFrame, tokens: Column, k: int = 2000) -> DataFrame:
@@ -93,8 +93,14 @@ def _louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: fl
     return order[member]
 
 
-def communities(e: DataFrame, resolutions: list[float]) -> DataFrame:
-    """resolution, community (0 the largest), size, term; a group per resolution, bounded by the vocabulary the edges come from."""
+def communities(e: DataFrame, resolutions: list[float], most: int = 8_000_000) -> DataFrame:
+    """resolution, community (0 the largest), size, term.
+
+    A resolution is one task, so the edges are counted first: above ``most`` (those of a vocabulary of 4,000 terms that all stand
+    together) the exact way doesn't fit it and ``label_propagation`` is to be used, another algorithm with other communities.
+    """
+    if e.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges; use label_propagation")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = float(pdf["resolution"].iloc[0])
@@ -133,3 +139,18 @@ def ego_status(words: DataFrame, vocab: DataFrame, degree: DataFrame, least: int
     x = words.join(vocab.withColumnRenamed("n", "df"), "term", "left").join(degree, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     status = F.when(F.col("df") < least, "too rare").when(F.col("degree").isNull(), "no edge").otherwise("built")
     return x.select("term", "df", status.alias("status"), F.when(F.col("df") >= least, F.coalesce("degree", F.lit(0))).otherwise(0).alias("neighbours"))
+
+
+def label_propagation(e: DataFrame, rounds: int = 10) -> DataFrame:
+    """term, community: each term takes the label with the most weight among its neighbours and itself, the least on a tie.
+
+    Joins and aggregations only, for graphs of any size; the labels of a round are written, so a lost executor costs one round.
+    """
+    both = materialize(e.select("src", "dst", "weight").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "both-ways")
+    labels = both.select(F.col("src").alias("term")).distinct().withColumn("community", F.col("term"))
+    own = both.groupBy(F.col("src").alias("term")).agg(F.max("weight").alias("w"))
+    for _ in range(rounds):
+        votes = both.join(labels.select(F.col("term").alias("dst"), "community"), "dst").select(F.col("src").alias("term"), "community", F.col("weight").alias("w"))
+        votes = votes.unionByName(labels.join(own, "term").select("term", "community", "w")).groupBy("term", "community").agg(F.sum("w").alias("w"))
+        labels = materialize(votes.groupBy("term").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")), "labels")
+    return labels

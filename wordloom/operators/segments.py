@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -277,3 +277,34 @@ def quota_sample(df: DataFrame, key: str, label: str, quotas: dict[str, int], n:
     near = near.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h", key)))  # at most 2 n rows each
     stage = F.when(F.col("__r") <= F.col("__q"), 1).when(F.col("__b"), 2).otherwise(3)
     return near.withColumn("stage", stage).orderBy("stage", "__h", key).limit(n).select(*df.columns, "stage")
+
+
+def rescored(spans: DataFrame, key: str, scorer: Callable[[list[str]], list[tuple[str, str]]] | None, calls: int = 0) -> DataFrame:
+    """Spans of the floor given to a scorer, which gives a label and a confidence for each text.
+
+    ``scorer`` runs in the workers, a batch at a time; ``calls`` is the budget of texts over all, taken in order of md5 of key and
+    index.  The default budget is 0, and without a scorer nothing changes.  An answer that isn't a known label and
+    confidence, or an error, leaves the floor.
+    """
+    if scorer is None or calls <= 0:
+        return spans
+    from wordloom.operators.relational import hash_order
+
+    ident = F.concat_ws("|", F.col(key).cast("string"), F.col("span_index").cast("string"))
+    picked = spans.where((F.col("label") == FLOOR[0]) & (F.col("span_text") != "")).withColumn("__id", ident).orderBy(hash_order("__id", "42"), "__id").limit(calls)
+    labels = {*LABEL_RANK, FLOOR[0]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                answers = list(scorer(pdf["span_text"].tolist()))
+            except Exception:  # noqa: BLE001 - whatever a scorer raises, its spans keep the floor
+                answers = []
+            answers += [FLOOR[:2]] * (len(pdf) - len(answers))
+            sure = [a if tuple(a)[0] in labels and tuple(a)[1] in CONFIDENCE_RANK else FLOOR[:2] for a in answers[: len(pdf)]]
+            yield pd.DataFrame({"__id": pdf["__id"], "__label": [a[0] for a in sure], "__conf": [a[1] for a in sure]})
+
+    scored = picked.select("__id", "span_text").mapInPandas(run, "__id string, __label string, __conf string")
+    x = spans.withColumn("__id", ident).join(scored, "__id", "left")
+    hit = F.col("__label").isNotNull() & (F.col("__label") != FLOOR[0])
+    return x.withColumns({"label": F.when(hit, F.col("__label")).otherwise(F.col("label")), "confidence": F.when(hit, F.col("__conf")).otherwise(F.col("confidence")), "source": F.when(hit, F.lit("scorer")).otherwise(F.col("source"))}).drop("__id", "__label", "__conf")

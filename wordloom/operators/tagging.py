@@ -17,7 +17,7 @@ MAX_TERMS = 5_000
 
 
 def read_terms(terms: DataFrame) -> list[dict]:
-    """Term rows in order of the term; refused above ``MAX_TERMS``, as each becomes part of the expression."""
+    """Term rows in order of the term; refused above ``MAX_TERMS``, as each becomes part of the expression: ``tag_blocks`` takes any number."""
     rows, fits = bounded(terms.where(F.col("term").isNotNull()).select("term", "confidence", "retrieval_action").distinct().orderBy("term"), MAX_TERMS)
     if not fits:
         raise ValueError(f"more than {MAX_TERMS} terms")
@@ -45,6 +45,41 @@ def tag(df: DataFrame, text: str, terms: list[dict], out: str = "matched") -> Da
     return df.withColumn(out, F.array_compact(F.array(*[F.when(matches(c, t), F.lit(t["term"])) for t in terms])))
 
 
+def tag_blocks(df: DataFrame, key: str, text: str, terms: DataFrame, block: int = 100_000) -> DataFrame:
+    """key, term: every literal term that stands in a text, in any case, for any number of terms.
+
+    A block of terms is one automaton, which a text is read through once however many terms there are; more terms are
+    more blocks.  ``key`` must be unique; null texts and null or empty terms match nothing.
+    """
+    import ahocorasick
+
+    t = terms.where(F.col("term").isNotNull() & (F.col("term") != "")).select("term").distinct()
+    blocks = max(1, -(-t.count() // block))
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+
+    def matcher(words: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            a = ahocorasick.Automaton()
+            for w in words:
+                low = w.lower()
+                a.add_word(low, (*a.get(low, ()), w))
+            if words:
+                a.make_automaton()
+            for pdf in batches:
+                out = [(k, w) for k, x in zip(pdf["k"], pdf["t"]) for w in (sorted({w for _, ws in a.iter(x.lower()) for w in ws}) if words else ())]
+                yield pd.DataFrame(out, columns=[key, "term"])
+
+        return run
+
+    found = None
+    for i in range(blocks):
+        words = [r["term"] for r in (t if blocks == 1 else t.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)).toLocalIterator()]
+        part = rows.mapInPandas(matcher(words), f"`{key}` {kind}, term string")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def first_match(df: DataFrame, matched: str = "matched", prefix: str = "fresh_") -> DataFrame:
     """Rows with a match: the first term, all terms joined by ``|``, and the prefixed slug of the first."""
     first = F.element_at(matched, 1)

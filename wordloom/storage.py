@@ -74,6 +74,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def write_manifest(spark: SparkSession, path: str, version: int, content: dict) -> None:
     """Version ``version`` of the manifest of the table set below ``path``: written aside, then renamed; the one before the last goes."""
     fs, target = _fs(spark, f"{path}/manifest-{version:06d}.json")
