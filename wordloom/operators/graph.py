@@ -18,6 +18,7 @@ def vocabulary(df: DataFrame, tokens: Column, k: int = 2000) -> DataFrame:
 
 def edges(df: DataFrame, tokens: Column, vocab: DataFrame, doc: str, at_least: int = 5) -> DataFrame:
     """src < dst, weight: documents that hold both terms, ``at_least`` so many.  Terms outside the vocabulary go first."""
+    vocab = materialize(vocab, "vocabulary")  # counted, joined and read back
     terms = broadcast_checked(vocab.select("term", F.row_number().over(Window.orderBy("term")).alias("i")))  # numbers in order of the terms
     held = df.select(F.col(doc).alias("d"), F.explode(F.array_distinct(tokens)).alias("term")).join(terms, "term")
     sets = held.groupBy("d").agg(F.sort_array(F.collect_set("i")).alias("t")).where(F.size("t") > 1)
@@ -99,6 +100,7 @@ def communities(e: DataFrame, resolutions: list[float], most: int = 8_000_000) -
     A resolution is one task, so the edges are counted first: above ``most`` (those of a vocabulary of 4,000 terms that all stand
     together) the exact way doesn't fit it and ``label_propagation`` is to be used, another algorithm with other communities.
     """
+    e = materialize(e, "edges")
     if e.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} edges; use label_propagation")
 

@@ -264,7 +264,7 @@ def quota_sample(df: DataFrame, key: str, label: str, quotas: dict[str, int], n:
     boosted = F.coalesce(boost, F.lit(False)) if boost is not None else F.lit(False)
     by = [label, *([split] if split else [])]
     rows = df.withColumns({"__h": hash_order(key, seed), "__b": boosted})
-    quota = F.coalesce(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])[F.col(label)], F.lit(0))
+    quota = F.coalesce(*[F.when(F.col(label) == k, v) for k, v in quotas.items()], F.lit(0))
     if split:
         g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("g")).withColumn("all", F.sum("g").over(Window.partitionBy(label)))
         g = g.select(*(F.col(c).alias(f"__{c}") for c in by), F.greatest(F.lit(1), F.floor(quota * F.col("g") / F.col("all"))).alias("__q"))

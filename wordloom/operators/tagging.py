@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def read_terms(terms: DataFrame) -> list[dict]:
 def _compiles(pattern: str) -> bool:
     try:
         SparkSession.getActiveSession().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):  # which of them depends on the session
         return False
     return True
 

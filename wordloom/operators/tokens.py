@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.clean import URL, strip_urls
-from wordloom.storage import attach, broadcast_checked
+from wordloom.storage import attach, broadcast_checked, materialize
 
 # Function words left out on request, with four artefacts of noun lemmas.
 STOPWORDS = tuple("""a about after again all also although am an and any are as at be because been before being but by can could did do does doing down during each even for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your wa ha doe wo""".split())
@@ -105,7 +105,7 @@ def collocations(df: DataFrame, tokens: Column, anchors: list[str], windows: lis
     p = F.col("pos")
     near = F.concat(F.slice("t", F.greatest(p - F.col("width"), F.lit(0)) + 1, F.least(p, F.col("width"))), F.slice("t", p + 2, F.col("width")))
     cooc = wide.select("anchor", "width", F.explode(near).alias("term")).where(~F.col("term").isin(*STOPWORDS) & (F.col("term") != F.col("anchor"))).groupBy("anchor", "width", "term").agg(F.count(F.lit(1)).alias("cooc"))
-    freq = frequency(docs, F.col("t"))
+    freq = materialize(frequency(docs, F.col("t")), "frequency")  # asked three times
     total = freq.agg(F.sum("n").alias("total"))
     anchor_n = freq.where(F.col("term").isin(*anchors)).select(F.col("term").alias("anchor"), F.col("n").alias("anchor_n"))
     rows = cooc.where(F.col("cooc") >= at_least).join(freq.withColumnRenamed("n", "freq"), "term").join(F.broadcast(anchor_n), "anchor")  # a row for each anchor
@@ -122,10 +122,13 @@ def phrase_collocations(df: DataFrame, tokens: Column, anchors: DataFrame, windo
     n, p, w = F.size("seed_tokens"), F.col("pos"), F.col("width")
     near = F.concat(F.slice("t", F.greatest(p - w, F.lit(0)) + 1, F.least(p, w)), F.slice("t", p + n + 1, w))
     wide = at.withColumn("width", F.explode(F.array(*[F.lit(x) for x in windows])))
-    terms = wide.select(F.col("seed").alias("anchor"), "width", F.explode(F.filter(near, lambda x: ~F.array_contains("seed_tokens", x))).alias("term"))
-    cooc = terms.where(~F.col("term").isin(*STOPWORDS)).groupBy("anchor", "width", "term").agg(F.count(F.lit(1)).alias("cooc")).where(F.col("cooc") >= at_least)
-    freq = frequency(docs, F.col("t"))
-    anchor_n = at.groupBy(F.col("seed").alias("anchor")).agg(F.count(F.lit(1)).alias("anchor_n"))
+    # one more term a place counts the places themselves in the same pass
+    kept = F.filter(near, lambda x: ~F.array_contains("seed_tokens", x) & ~x.isin(*STOPWORDS))
+    terms = wide.select(F.col("seed").alias("anchor"), "width", F.explode(F.concat(kept, F.array(F.lit("")))).alias("term"))
+    counted = materialize(terms.groupBy("anchor", "width", "term").agg(F.count(F.lit(1)).alias("cooc")), "neighbours")
+    cooc = counted.where((F.col("term") != "") & (F.col("cooc") >= at_least))
+    anchor_n = counted.where((F.col("term") == "") & (F.col("width") == windows[0])).select("anchor", F.col("cooc").alias("anchor_n"))
+    freq = materialize(frequency(docs, F.col("t")), "frequency")
     rows = cooc.join(freq.withColumnRenamed("n", "freq"), "term").join(broadcast_checked(anchor_n), "anchor")
     rows = attach(rows, freq.agg(F.sum("n").alias("total")))
     rows = rows.withColumn("pmi", F.round(pmi(F.col("cooc"), F.col("total"), F.col("anchor_n"), F.col("freq")), 4))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import clean, clusters, graph, relational, segments, tagging, tokens
 from wordloom.plans.catalog import Catalog, table, texts
-from wordloom.storage import attach
+from wordloom.storage import attach, materialize
 
 catalog = Catalog()
 q = catalog.add
@@ -257,7 +257,7 @@ _CMP = f"WITH f AS (SELECT type, term, count(*) AS n FROM (SELECT type, unnest({
 
 
 def _compared(s, d):
-    f = tokens.frequency(corpus(s, d).where("type IS NOT NULL"), tokens.words(F.col("body")), ["type"])
+    f = materialize(tokens.frequency(corpus(s, d).where("type IS NOT NULL"), tokens.words(F.col("body")), ["type"]), "frequency")
     return tokens.compare(f.where("type = 'post'").select("term", "n"), f.where("type = 'comment'").select("term", "n"))
 
 

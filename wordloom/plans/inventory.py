@@ -11,7 +11,7 @@ from wordloom.plans.more import LOOSE
 from wordloom.plans.whole import _BODY as STRICT_BODY
 from wordloom.plans.whole import _E, _graph_sql
 from wordloom.sources import sinks
-from wordloom.storage import attach, broadcast_checked
+from wordloom.storage import attach, broadcast_checked, materialize
 
 catalog = Catalog()
 q = catalog.add
@@ -238,7 +238,7 @@ def d12(s, d):
 @q("s13_adjacency", f"WITH {_graph_sql()}, k AS (SELECT term FROM ed ORDER BY degree DESC, term LIMIT 200), b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) SELECT x.term AS src, y.term AS dst, coalesce(weight, 0) AS weight FROM k x, k y LEFT JOIN b ON b.src = x.term AND b.dst = y.term")
 def s13(s, d):
     """The adjacency matrix of the 200 terms of the highest degree, one row a cell."""
-    return graph.adjacency(whole_edges(s, d), 200)
+    return graph.adjacency(materialize(whole_edges(s, d), "edges"), 200)
 
 
 @q("k05_duplicate_posts", f"WITH p AS (SELECT row_id, trim(lower(substring(coalesce(body, ''), 1, 200))) AS k FROM {C} WHERE type = 'post'), g AS (SELECT k, count(*) AS c, min(row_id) AS example FROM p GROUP BY k) SELECT k AS prefix, c AS copies, example FROM g WHERE c > 1 ORDER BY c DESC, k LIMIT 5")

@@ -10,7 +10,7 @@ from wordloom.plans import more
 from wordloom.plans.catalog import Catalog, table
 from wordloom.plans.corpus import BODY, STOP, C, corpus, docs, whole_edges
 from wordloom.plans.more import LOOSE
-from wordloom.storage import attach
+from wordloom.storage import attach, materialize
 
 catalog = Catalog()
 q = catalog.add
@@ -47,13 +47,13 @@ def k10(s, d):
 
 @q("k12_modularity_whole", f"WITH {_E}, l AS (SELECT term AS t, length(term) % 3 AS c FROM ed), m AS (SELECT sum(weight) AS m FROM e), i AS (SELECT a.c, sum(weight) AS w FROM e JOIN l a ON a.t = src JOIN l b ON b.t = dst WHERE a.c = b.c GROUP BY a.c), k AS (SELECT c, sum(weight) AS k FROM (SELECT src AS t, weight FROM e UNION ALL SELECT dst, weight FROM e) JOIN l USING (t) GROUP BY c) SELECT round(sum(coalesce(w, 0)::DOUBLE / m - (k / (2.0 * m)) * (k / (2.0 * m))), 4) AS modularity FROM k LEFT JOIN i USING (c), m")
 def k12(s, d):
-    e = whole_edges(s, d)
+    e = materialize(whole_edges(s, d), "edges")
     return graph.modularity(e, graph.degrees(e).select("term", (F.length("term") % 3).alias("community")))
 
 
 @q("k14_ego_graph_whole", f"WITH {_E}, a AS (SELECT min(src) AS t FROM e), n AS (SELECT src AS t FROM e WHERE dst = (SELECT t FROM a) UNION SELECT dst FROM e WHERE src = (SELECT t FROM a) UNION SELECT t FROM a) SELECT src, dst, weight FROM e WHERE src IN (SELECT t FROM n) AND dst IN (SELECT t FROM n)")
 def k14(s, d):
-    e = whole_edges(s, d)
+    e = materialize(whole_edges(s, d), "edges")
     return graph.ego(e, e.agg(F.min("src").alias("t")).head()["t"] or "")
 
 
@@ -74,7 +74,7 @@ _DENSITY = "(SELECT CASE WHEN count(*) > 1 THEN 2.0 * (SELECT count(*) FROM {x})
 @q("k16_degree_overlap_whole", f"WITH {_P}, {_M}, r AS (SELECT {_shared(100)}, {_shared(20)}, {_DENSITY.format(x='p')}, {_DENSITY.format(x='m')}) SELECT s100 AS shared, round(CASE WHEN u100 = 0 THEN 0 ELSE s100 / u100 END, 4) AS jaccard, s20 AS top20_shared, round(CASE WHEN dm > 0 THEN round(dp, 4) / round(dm, 4) ELSE 0 END, 4) AS density_ratio FROM r")
 def k16(s, d):
     """Of posts and comments: top-100 degree sets, top-20 overlap and the ratio of the densities (each of four digits), 0 where empty."""
-    es = [whole_edges(s, d, k) for k in ("post", "comment")]
+    es = [materialize(whole_edges(s, d, k), "edges") for k in ("post", "comment")]
     dens = [graph.stats(e).select(F.col("density").alias(n)) for e, n in zip(es, ("dp", "dm"))]
     tops = {k: [tokens.top(graph.degrees(e), k, n="degree").select("term") for e in es] for k in (100, 20)}
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
@@ -116,7 +116,7 @@ _CMP = f"WITH f AS (SELECT type, term, count(*) AS n FROM (SELECT type, unnest({
 
 
 def _compared(s, d, k=200):
-    f = tokens.frequency(corpus(s, d).where("type IS NOT NULL"), _strict(), ["type"])
+    f = materialize(tokens.frequency(corpus(s, d).where("type IS NOT NULL"), _strict(), ["type"]), "frequency")
     return tokens.compare_whole(f.where("type = 'post'").select("term", "n"), f.where("type = 'comment'").select("term", "n"), k)
 
 
