@@ -185,16 +185,17 @@ def resolve(spans: DataFrame, key: str) -> DataFrame:
     A sweep: a span meets only the stretches between the boundaries that lie in it, which it gets by slicing the sorted
     boundaries of its key, so no stretch is held against a span that doesn't cover it.
     """
-    cuts = spans.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array(F.lit(0), "length", "start", "end"))))).alias("cuts"))
-    rank = F.struct("label_rank", "conf_rank", "ord").alias("rank")
-    own = spans.join(cuts, key)
+    cuts = spans.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array(F.lit(0), "length", "start", "end"))))).alias("cuts"), F.min("ord").alias("first"))
+    rank = F.struct("label_rank", "conf_rank", "ord")
     low, high = F.array_position("cuts", F.col("start")).cast("int"), F.array_position("cuts", F.col("end")).cast("int")
-    held = own.where("start < end").select(key, F.explode(F.slice("cuts", low, high - low)).alias("lo"), rank).groupBy(key, "lo").agg(F.min("rank").alias("rank"))
-    cells = cuts.select(key, F.explode(F.arrays_zip(F.slice("cuts", 1, F.size("cuts") - 1).alias("lo"), F.slice("cuts", 2, F.size("cuts")).alias("hi"))).alias("x")).select(key, "x.lo", "x.hi")
-    best = cells.join(held, [key, "lo"], "left").select(key, "lo", "hi", F.col("rank.ord").alias("winner"))
+    held = F.transform(F.slice("cuts", low, F.greatest(high - low, F.lit(0))), lambda lo: F.struct(lo.alias("lo"), rank.alias("rank")))
+    # the first span of a key also brings its stretches that no span may cover; all that follows is partitioned by the key
+    every = F.when(F.col("ord") == F.col("first"), F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda lo: F.struct(lo.alias("lo"), F.when(F.lit(False), rank).alias("rank"))))
+    own = spans.join(cuts, key).select(key, F.element_at("cuts", -1).alias("last"), F.explode(F.when(every.isNull(), held).otherwise(F.concat(held, every))).alias("x"))
+    best = own.groupBy(key, "x.lo").agg(F.min("x.rank")["ord"].alias("winner"), F.max("last").alias("last"))
     w = Window.partitionBy(key).orderBy("lo")
     new = F.when(F.col("winner").eqNullSafe(F.lag("winner").over(w)) & (F.col("lo") > 0), 0).otherwise(1)
-    runs = best.withColumn("run", new)
+    runs = best.withColumns({"hi": F.coalesce(F.lead("lo").over(w), F.col("last")), "run": new})
     runs = runs.withColumn("run", F.sum("run").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(key, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("winner").alias("winner")).select(key, "lo", "hi", "winner")
 
