@@ -328,6 +328,27 @@ def test_encode_rows(spark):
     assert got[:4] == [(1, 0), (2, 0), (3, 2), (3, 2)] and got[4][1] > 0
 
 
+# personal information of any length
+
+def test_anchors_expand_to_the_bounds_of_their_tokens():
+    f = pii.Finder(NAMES)
+    long = "a" * 10_000
+    assert f.redact(f"write {long}@example.com now") == "write [EMAIL] now"
+    assert f.redact("write x@" + "sub." * 3_000 + "example.com now") == "write [EMAIL] now"
+    assert f.redact(f"Maria {long.capitalize()} wrote") == "[PERSON] wrote"
+    assert f.redact(f"{long.capitalize()} Velkin wrote") == "[PERSON] wrote"
+    assert f.redact("see mailto:x.y@example.org?subject=z, tel:+49-30-1234567 or tel:12") == "see mailto:[EMAIL]?subject=z, tel:[PHONE] or tel:12"
+    assert f.redact(f"at 12 {long.capitalize()} Street, Leeds LS1 4AB today") == "at [ADDRESS] today"
+
+
+def test_names_of_a_large_lexicon_come_by_record(spark):
+    names = spark.createDataFrame([*NAMES, (None, "given")], "name string, name_kind string")
+    rows = [(1, "Maria Velkin wrote, then ingrid velkin."), (2, None), (3, ""), (4, "Dr. Ashcombe-Ruel and nobody"), (5, "the velkin street")]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    out = [{(r["row_id"], r["redacted"]) for r in pii.redact(df, names, text="text", most=most).collect()} for most in (100, 1)]
+    assert out[0] == out[1] and (1, "[PERSON] wrote, then [PERSON].") in out[0]
+
+
 # leakage
 
 def test_leaks_against_brute_force(spark):
@@ -404,7 +425,8 @@ def test_queries_against_sql(spark):
     if not os.path.isdir(d):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW lcr_pass1b_canonical AS SELECT * FROM '{d}/lcr_pass1b_canonical.parquet'")
+    for t in ("lcr_pass1b_canonical", "memory_lcr_candidates", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in queries.catalog.sql.items():
         a, b = queries.catalog.queries[name](spark, d).toPandas(), con.execute(sql).df()
         assert sorted(map(repr, a[sorted(a)].astype(str).values.tolist())) == sorted(map(repr, b[sorted(a)].astype(str).values.tolist()))

@@ -116,6 +116,7 @@ class Finder:
     """Spans of personal information in one text; ``names``: pairs of name and kind (given or family)."""
 
     def __init__(self, names: Iterable[tuple[str, str]] = ()):
+        names = list(names)
         self.given = {n.lower() for n, k in names if n and k == "given"}
         self.family = {n.lower() for n, k in names if n and k == "family"}
         a = ahocorasick.Automaton()
@@ -329,17 +330,28 @@ class Finder:
         return "".join([*out, text[at:]])
 
 
-def with_names(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str, most: int = MAX_NAMES) -> tuple[DataFrame, list[tuple[str, str]] | None]:
+def read_names(lexicon: DataFrame) -> list[tuple[str, str]]:
+    """The lexicon's names as a list; refused above ``MAX_NAMES`` rows, for which the lexicon itself is to be given."""
+    rows, fits = bounded(lexicon.where(F.col("name").isNotNull()).select("name", "name_kind").distinct(), MAX_NAMES)
+    if not fits:
+        raise ValueError(f"the name lexicon has more than {MAX_NAMES} rows")
+    return [(r["name"], r["name_kind"]) for r in rows]
+
+
+def with_names(df: DataFrame, lexicon: DataFrame | list[tuple[str, str]], *, text: str, id_col: str, most: int = MAX_NAMES) -> tuple[DataFrame, list[tuple[str, str]] | None]:
     """id, text and names of each record, and the whole lexicon if it has at most ``most`` names.
 
     A larger lexicon isn't sent to the workers: its names are joined to the words of the records, and ``names`` then has
     those that stand in the record, which is all that its parsers ask for.  Otherwise ``names`` is null.
     """
-    known = lexicon.where(F.col("name").isNotNull()).select("name", "name_kind").distinct()
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    whole = rows.withColumn("names", F.lit(None).cast("array<struct<name:string,name_kind:string>>"))
+    if not isinstance(lexicon, DataFrame):
+        return whole, [(n, k) for n, k in lexicon if n]
+    known = lexicon.where(F.col("name").isNotNull()).select("name", "name_kind").distinct()
     found, fits = bounded(known, most)
     if fits:
-        return rows.withColumn("names", F.lit(None).cast("array<struct<name:string,name_kind:string>>")), [(r["name"], r["name_kind"]) for r in found]
+        return whole, [(r["name"], r["name_kind"]) for r in found]
     words = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’\-][\p{L}]+)*"), F.lit(0)))).alias("word"))
     held = words.join(known.withColumn("word", F.lower("name")), "word").groupBy("id").agg(F.collect_set(F.struct("name", "name_kind")).alias("names"))
     return rows.join(held, "id", "left"), None
@@ -355,10 +367,10 @@ def _each(names: list[tuple[str, str]] | None):
     return of
 
 
-def find_kinds(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str = "row_id", most: int = MAX_NAMES) -> DataFrame:
+def find_kinds(df: DataFrame, lexicon: DataFrame | list[tuple[str, str]], *, text: str, id_col: str = "row_id", most: int = MAX_NAMES) -> DataFrame:
     """id_col, kind: one row for each record and kind of personal information in its text; null texts give none.
 
-    ``lexicon`` has name and name_kind (given or family), null names left out; with an empty one only introduced and
+    ``lexicon`` has name and name_kind (given or family), null names left out, or is a list of such pairs; with an empty one only introduced and
     titled names are found.  ``id_col`` must be unique where the lexicon has more than ``most`` names.
     """
     rows, names = with_names(df, lexicon, text=text, id_col=id_col, most=most)
@@ -377,7 +389,7 @@ def find_kinds(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str = "r
     return rows.mapInPandas(run, f"`{id_col}` long, kind string")
 
 
-def redact(df: DataFrame, lexicon: DataFrame, *, text: str, id_col: str = "row_id", out: str = "redacted", most: int = MAX_NAMES) -> DataFrame:
+def redact(df: DataFrame, lexicon: DataFrame | list[tuple[str, str]], *, text: str, id_col: str = "row_id", out: str = "redacted", most: int = MAX_NAMES) -> DataFrame:
     """id_col, out: every record's text with placeholders; null stays null, empty stays empty. ``lexicon`` as in ``find_kinds``."""
     rows, names = with_names(df, lexicon, text=text, id_col=id_col, most=most)
 
