@@ -1,3 +1,4 @@
+import itertools
 import math
 from collections import Counter
 from datetime import datetime
@@ -44,7 +45,9 @@ def test_skipgrams_modes(spark):
         for a in range(len(t)):
             for b in range(a + 1, min(a + skip + 2, len(t))):
                 plain[t[a], t[b]] += 1
-                weighted[t[a], t[b]] += min(width - (b - a), a + 1)
+            # every window that begins here counts its pairs of at most 2 + skip apart
+            for x, y in itertools.combinations(range(a, min(a + width, len(t))), 2):
+                weighted[t[x], t[y]] += y - x <= 2 + skip
         get = lambda c: {(r["first"], r["second"]): r["n"] for r in tokens.skipgrams(df, F.col("t"), skip, c).collect()}  # noqa: E731,B023
         assert get(False) == plain and get(True) == weighted
 
